@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, jaccard, licenses, packing, quality, secrets, sharding
+from ledgerline.llm import decontaminate, jaccard, licenses, lines, packing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit_line_field(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
+    f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_line_dedup, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
