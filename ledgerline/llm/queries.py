@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, jaccard, licenses, lines, packing, quality, secrets, sharding
+from ledgerline.llm import decontaminate, jaccard, licenses, lines, packing, pii, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of the registered query; a deployment brings its own.
+PII_KEY = "registered query"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -47,6 +55,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_line_dedup, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_secret_scan, op3_quality_rules, op4_line_dedup, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
