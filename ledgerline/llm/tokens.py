@@ -2,32 +2,74 @@
 
 The tokenizer never merges across white space, so a text's ids are those of its chunks in order. That
 holds as it is for characters up to U+024F (canonical composition and case folding leave chunk borders
-alone there); a text with any other character, or other white space, goes to the tokenizer whole.
+alone there); a text with any other character, or other white space, goes to the tokenizer whole. A new
+chunk's pieces are merged by the file's own merges in a faster merger; the tests hold its ids against
+the tokenizer's.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
+import regex
+import tiktoken
 
 _PLAIN = re.compile("[^\n\r\t\x20-\x7e¡-ɏ]")
 #: Chunks that one worker remembers; when full it starts anew. Longer chunks are not remembered.
 CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
 
 
+#: How the vocabulary's words are cut out of a chunk, as its file says.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Stands for the word end in merges; no byte of UTF-8.
+_WORD_END = b"\xff"
+
+
+def _merges(path: str) -> tuple[tiktoken.core.CoreBPE, np.ndarray]:
+    """The file's merges as byte ranks, which give the same pieces much faster, and the id of each rank.
+
+    A word's last byte and the word end merge before all else, as they are one symbol in the file.
+    """
+    model = json.loads(Path(path).read_text())["model"]
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    spell = lambda piece: bytes(byte[c] for c in piece.removesuffix("</w>")) + _WORD_END * piece.endswith("</w>")
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + _WORD_END: 256 + b for b in range(255)}
+    ids = {}
+    for merge in model["merges"]:
+        a, b = merge if isinstance(merge, list) else merge.split(" ")
+        ranks.setdefault(spell(a + b), len(ranks) + 1)
+    for piece, i in model["vocab"].items():
+        if not piece.startswith("<|") and (r := ranks.get(spell(piece))) is not None:
+            ids[r] = i
+    table = np.zeros(max(ranks.values()) + 1, "<u4")
+    table[list(ids)] = list(ids.values())
+    return tiktoken.Encoding("merges", pat_str=r"[^\s]+", mergeable_ranks=ranks, special_tokens={})._core_bpe, table
+
+
 class ChunkTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.ids = _merges(path)
         self.known: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
+        if any("<|" in c for c in chunks):  # may hold a special token
+            return self._ask(chunks)
+        merge, ids, find = self.merges.encode_single_piece, self.ids, _PIECES.findall
+        return [ids[[r for piece in find(c.lower()) for r in merge(piece.encode() + _WORD_END)]].tobytes() for c in chunks]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
         chunks = [None if t and _PLAIN.search(t) else (t or "").split() for t in texts]
@@ -36,7 +78,7 @@ class ChunkTokenizer:
             self.known = {}
             new = set().union(*(c for c in chunks if c))
         asked = list(new)
-        got = dict(zip(asked, self._ask(asked), strict=True))
+        got = dict(zip(asked, self._ask_chunks(asked), strict=True))
         self.known.update((k, v) for k, v in got.items() if len(k) <= CACHE_CHARS)
         look = {**self.known, **got} if any(len(k) > CACHE_CHARS for k in got) else self.known
         whole = iter(self._ask([t for t, c in zip(texts, chunks, strict=True) if c is None]))

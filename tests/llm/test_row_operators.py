@@ -156,6 +156,18 @@ def test_packing_is_a_partition_of_the_tokens(docs, odd):
     assert padding < 0.02 * 2048 * len(by_sequence)
 
 
+def test_chunk_ids_equal_the_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.tokens import ChunkTokenizer
+
+    odd = ["İstanbul İ ŁÓDŹ don't we'll 've x's 12ab34 ... !!! 's '''ll ñ~^_`|", "a<|endoftext|>b <|startoftext|>", "«é» ½ ²³ ¼x ªº µ ¡¿ ß ſ ŉ ǅ Ǆ", "", "日本語 text", "\x1c a\x0bb\x85c\xa0d", "0x1F600 -- __init__ a_b c++ #$%^&*()", "y" * 500]
+    texts = [*odd, *(r.text for r in docs.collect())]
+    whole = Tokenizer.from_file(packing.default_path())
+    for text, raw in zip(texts, ChunkTokenizer(packing.default_path()).encode(texts), strict=True):
+        assert np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == raw
+
+
 def test_cuts_are_the_cheapest():
     import itertools
     import random
