@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, jaccard, licenses, lines, packing, pii, quality, secrets, sharding
+from ledgerline.llm import decontaminate, jaccard, licenses, lines, lm, packing, pii, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_secret_scan, op3_quality_rules, op4_line_dedup, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_secret_scan, op3_quality_rules, op4_line_dedup, op5_lm_scores, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
