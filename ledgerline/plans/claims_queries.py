@@ -1,6 +1,6 @@
 """All registered queries of the claims operators."""
 
-from ledgerline.plans import entities, grids, headers, standardise, tables, texts  # noqa: F401
+from ledgerline.plans import entities, grids, headers, layouts, standardise, tables, texts  # noqa: F401
 from ledgerline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
