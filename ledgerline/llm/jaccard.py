@@ -32,7 +32,7 @@ from ledgerline.llm.words import lower_blank_words, slices
 from ledgerline.llm.workspace import Workspace, components, sized
 
 SHINGLE_WORDS, MIN_PERCENT = 4, 85
-#: A shingle in the heads of so many units is a shared one.
+#: A shingle in the first hashes of so many units is a shared one.
 SHARED_UNITS = 32
 #: Longs of a unit's bit map.
 MAP_LONGS = 16
@@ -56,7 +56,7 @@ def _heads(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, row = ShingleHasher(words), TaskContext.get().partitionId() << 40
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             numbers, maps, heads = [], [], []
             for text, key in zip(b.column("text"), b.column("key").to_pylist(), strict=True):
                 s = hasher.distinct(lower_blank_words(text.as_py()))
@@ -83,18 +83,18 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, units: DataFrame, words: int) -> DataFrame:
-    """(unit, shingles) of the units in ``units``, from the documents in ``ids``; a row a unit."""
+    """(unit, shingles) of the units in ``units``, from the documents in ``ids``, one for each unit unless rows are repeated."""
     schema = "unit long, shingles array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             sets = [hasher.distinct(lower_blank_words(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     found = keyed.join(ids, "key", "left_semi").select("text").mapInArrow(run, schema)
-    return found.join(units, "unit", "left_semi").groupBy("unit").agg(F.first("shingles").alias("shingles"))
+    return found.join(units, "unit", "left_semi")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -117,7 +117,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda x: sets.select(F.col("unit").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
 
 
 def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN_PERCENT, shared_units: int = SHARED_UNITS) -> DataFrame:
@@ -127,30 +127,35 @@ def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN
     """
     work = Workspace(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = work.write(_heads(docs, words, percent), "heads")
-    per_unit = rows.filter("n > 0").groupBy("unit").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    full = work.write(_heads(docs, words, percent), "full")
+    per_unit = full.filter("n > 0").groupBy("unit").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     if per_unit.filter("c0 <> c1").limit(1).count():
         raise ValueError("two sets share a 64-bit fingerprint; choose another hash seed")
     repeated = sized(per_unit.filter("copies > 1").select("unit", "first"))
-    units = rows.filter("n > 0").join(repeated, "unit", "left").filter("first IS NULL OR row = first")
-
-    members = work.write(_prefixes(docs, rows, units, words, percent, shared_units, work), "members")
-    groups = members.groupBy("g", "n").agg(F.min("unit").alias("unit")).join(members.select("unit", "prefix"), "unit")
-    index = groups.select("g", "n", "unit", F.posexplode("prefix").alias("i", "shingle"))
-    met = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle")
-    index = work.write(index.join(met, "shingle"), "index")
-    in_play = index.select("g").union(members.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")).distinct()
-    active = work.write(members.join(sized(in_play), "g", "left_semi").select("unit", "g"), "active")
-    few = sized(active.select("unit"))
-    sets = work.write(_sets(docs, _keys(rows, few), few, words), "sets")
-    maps = work.write(units.join(few, "unit", "left_semi").select("unit", "n", "map"), "maps")
-    work.delete("whole")
+    units = full.filter("n > 0").join(repeated, "unit", "left").filter("first IS NULL OR row = first")
+    members = work.write(_prefixes(docs, full, units, words, percent, shared_units, work), "members", release=True)
+    rows, maps = work.write(full.select("doc_id", "key", "n", "unit"), "rows"), work.write(units.select("unit", "n", "map"), "maps")
+    work.delete("full")
+
+    # the index: a row for each group and shingle of its prefix that another group has too
+    ids = work.write(members.select("unit", "g", "n"), "ids")
+    many = work.write(ids.groupBy("g").agg(F.min("unit").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "lead"), "many")
+    leads = members.join(sized(many), "g", "left").filter("lead IS NULL OR unit = lead")
+    dealt = leads.select("unit", F.posexplode("prefix").alias("i", "shingle")).repartition("shingle")
+    # all columns are read, so that the exchange serves the join as well
+    met = dealt.groupBy("shingle").agg(F.count("unit").alias("k"), F.min("i").alias("i0")).filter("k > 1 AND i0 >= 0").select("shingle")
+    index = work.write(dealt.join(met, "shingle"), "met", release=True).join(ids, "unit")
+    index = work.write(index, "index")
+    work.delete("members")
+    in_play = sized(work.write(index.select("g").union(many.select("g")).distinct(), "in_play"))
+    active = work.write(ids.join(in_play, "g", "left_semi").select("unit", "g"), "active")
 
     # one pair a row: the first member of each group and of each bucket
-    leaders = index.groupBy("shingle").agg(F.min_by("unit", "g").alias("a"))
-    stars = index.join(leaders, "shingle").select("a", F.col("unit").alias("b"))
+    places = lambda a, b: (100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}")) & (F.least(f"i{a}", f"i{b}") + 1 + F.least(F.col(f"n{a}") - F.col(f"i{a}") - 1, F.col(f"n{b}") - F.col(f"i{b}") - 1) >= _needed(F.col(f"n{a}"), F.col(f"n{b}"), percent))
+    leaders = index.groupBy("shingle").agg(F.min_by(F.struct("unit", "n", "i"), "g").alias("l")).select("shingle", F.col("l.unit").alias("a"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2"))
+    stars = index.join(leaders, "shingle").filter(places("", "2")).select("a", F.col("unit").alias("b"))
     inside = active.join(active.groupBy("g").agg(F.min("unit").alias("a")), "g").select("a", F.col("unit").alias("b"))
-    first = work.write(_verify(work.write(_thin(stars.union(inside).filter("a <> b").distinct(), maps, percent), "stars"), sets, percent), "links1")
+    first = work.write(_linked(stars.union(inside).filter("a <> b").distinct(), docs, rows, maps, words, percent, work, "stars"), "links1", release=True)
     labels = components(first, work, "one")
 
     # members of different components that meet in a bucket or group
@@ -158,18 +163,17 @@ def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN
     kinds = own.select("g", "label").distinct()
     spots = index.select("shingle", "g", "n", "i").join(kinds, "g")
     mixed = spots.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
-    spots = spots.join(mixed, "shingle")
+    spots = work.write(spots.join(mixed, "shingle"), "spots")
     other = spots.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "i", "label")))
-    left = F.least("i", "i2") + 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n2") - F.col("i2") - 1)
-    near = (F.col("label") < F.col("label2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (left >= _needed(F.col("n"), F.col("n2"), percent))
-    meet = spots.join(other, "shingle").filter(near).select("g", "label", "g2", "label2")
+    meet = spots.join(other, "shingle").filter((F.col("label") < F.col("label2")) & places("", "2")).select("g", "label", "g2", "label2")
     split = kinds.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g")
     halves = kinds.join(split, "g")
     within = halves.join(halves.select("g", F.col("label").alias("label2")), "g").filter("label < label2").select("g", "label", F.col("g").alias("g2"), "label2")
     side = lambda x, y: own.select(F.col("unit").alias(x), F.col("g").alias(f"g{y}"), F.col("label").alias(f"label{y}"))
     pairs = meet.union(within).distinct().join(side("a", ""), ["g", "label"]).join(side("b", "2"), ["g2", "label2"]).select("a", "b")
-    second = _verify(work.write(_thin(pairs, maps, percent), "pairs"), sets, percent)
-    labels = work.write(components(work.write(first.union(second), "links"), work, "two"), "labels")
+    second = _linked(pairs, docs, rows, maps, words, percent, work, "pairs")
+    links = work.write(first.union(second).distinct(), "links", release=True)
+    labels = work.write(components(links, work, "two"), "labels")
 
     own = rows.join(labels.withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("label", "unit")).alias("component"))
     shared = own.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("component IS NOT NULL AND k > 1").select("component", "least")
@@ -178,26 +182,33 @@ def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN
     )
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, maps: DataFrame, words: int, percent: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs of units that are linked; whole sets are made only for those that the bit maps let through."""
+    thin = work.write(_thin(pairs, maps, percent), name, release=True)
+    few = sized(work.write(thin.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), f"{name}_units"))
+    return _verify(thin, work.write(_sets(docs, _keys(rows, few), few, words), f"{name}_sets"), percent)
+
+
 def _keys(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Keys of the documents with these sets, copies included."""
-    return sized(rows.join(units, "unit", "left_semi").select("key").distinct())
+    """The key of one document for each of these sets."""
+    return sized(rows.join(units, "unit", "left_semi").groupBy("unit").agg(F.min("key").alias("key")).select("key").distinct())
 
 
 def _prefixes(docs: DataFrame, rows: DataFrame, units: DataFrame, words: int, percent: int, shared_units: int, work: Workspace) -> DataFrame:
     """unit, n, prefix and g (hash of size and prefix) of every unit."""
     p = (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int")
     units = units.select("unit", "n", p.alias("p"), "head")
-    seen = units.select("unit", F.explode("head").alias("shingle"))
-    common = sized(work.write(seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= shared_units).select("shingle"), "common"))
+    seen = units.select("unit", F.explode(F.slice("head", F.lit(1), F.col("p"))).alias("shingle"))
+    common = sized(work.write(seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= shared_units).select("shingle"), "common", release=True))
     marks = lambda some: some.join(common, "shingle").groupBy("unit").agg(F.collect_set("shingle").alias("common"))
     filled = F.coalesce("common", F.array().cast("array<long>"))
     ordered = lambda every: F.slice(F.concat(F.array_except(every, "common"), F.array_sort(F.array_intersect(every, F.col("common")))), 1, F.col("p"))
-    marked = units.join(sized(work.write(marks(seen), "marks")), "unit", "left").withColumn("common", filled)
+    marked = units.join(sized(work.write(marks(units.select("unit", F.explode("head").alias("shingle"))), "marks")), "unit", "left").withColumn("common", filled)
     # heads that are mostly shared: their order needs the whole set
     short = (F.size("head") - F.size("common") < F.col("p")) & (F.size("head") < F.col("n"))
     few = work.write(marked.filter(short).select("unit", "n", "p"), "short")
     names = sized(few.select("unit"))
-    whole = work.write(_sets(docs, _keys(rows, names), names, words), "whole")
+    whole = work.write(_sets(docs, _keys(rows, names), names, words).dropDuplicates(["unit"]), "whole")
     full = whole.join(few, "unit").join(marks(whole.select("unit", F.explode("shingles").alias("shingle"))), "unit", "left").withColumn("common", filled)
     both = marked.filter(~short).select("unit", "n", ordered(F.col("head")).alias("prefix")).union(full.select("unit", "n", ordered(F.col("shingles")).alias("prefix")))
     return both.withColumn("g", F.xxhash64("n", "prefix"))

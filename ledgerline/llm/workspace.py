@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,9 +24,13 @@ class Workspace:
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """``release``: the shuffles behind it were large; have the driver let go of them, so that Spark's cleaner drops their files now."""
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        if release:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self, name: str) -> None:
