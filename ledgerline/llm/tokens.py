@@ -20,7 +20,7 @@ import tiktoken
 
 _PLAIN = re.compile("[^\n\r\t\x20-\x7e¡-ɏ]")
 #: Chunks that one worker remembers; when full it starts anew. Longer chunks are not remembered.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
+CACHE_CHUNKS, CACHE_CHARS = 700_000, 40
 
 
 #: How the vocabulary's words are cut out of a chunk, as its file says.
