@@ -8,8 +8,9 @@ Distinct lines are split into ``max_edits + 1`` even segments; two lines within
 at a place that follows from their lengths, so each line indexes its segments and probes those of lines
 up to ``max_edits`` shorter (length-aware substring index). A segment that many lines share isn't
 expanded into pairs: those lines are keyed again by all but ``max_edits`` of ``FINE_SEGMENTS`` segments,
-which still covers every pair. Candidates are verified by an automaton whose states are the diagonals of
-the edit band, as bits of one integer for each number of edits. Only DataFrame functions.
+which still covers every pair. Candidates that share enough of eight parts are verified, between the first
+and the last part that differs, by an automaton whose states are the diagonals of the edit band, as bits of
+one integer for each number of edits. Only DataFrame functions.
 
 Null text stays null. Rows that agree in id and text are one document and lose the same lines; rows that
 repeat an id with another text are documents of their own. All other columns stay as they are.
@@ -76,8 +77,27 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     Bit d of state e stands for the cell on diagonal d - edits of the band, reached with at most e edits; a
     step takes a character of ``right`` and all cells of its column at once.
     """
-    cells = range(2 * edits + 1)
-    cut = pairs.withColumns({"__left": F.split("left", ""), "__right": F.split("right", "")})
+    cells, parts = range(2 * edits + 1), 8
+    # Most candidates fail here: each edit spoils one of the left line's parts at most, all others occur in
+    # the right line up to `edits` places away. What is left is compared between its first and last spoilt part.
+    n, delta = F.length("left"), F.length("right") - F.length("left")
+    at = lambda i: F.floor(n * i / parts).cast("int")
+    same = lambda i, s: F.substr("left", at(i) + 1, at(i + 1) - at(i)) == F.substr("right", at(i) + 1 + s, at(i + 1) - at(i))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    shifts = F.array(*(F.lit(s) for s in sorted(range(-edits, edits + 1), key=abs)))
+    met = F.size(F.filter(every, lambda i: F.exists(shifts, lambda s: same(i, s))))
+    thin = pairs.filter((F.abs(delta) <= edits) & ((n < parts * (edits + 1)) | (met >= parts - edits)))
+    thin = thin.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Generated columns: a filter above would otherwise take their expressions along into every use of them.
+    keep = lambda df, **made: df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in made.items())))))
+    head = F.array_position(F.transform(every, lambda i: same(i, F.lit(0))), False)
+    tail = F.array_position(F.transform(every, lambda i: same(F.lit(parts - 1) - i, delta)), False)
+    ends = keep(thin, __head=F.when(head == 0, parts).otherwise(head - 1).cast("int"), __tail=F.when(tail == 0, 0).otherwise(parts + 1 - tail).cast("int"))
+    long = n >= parts * (edits + 1)  # a part is longer than the difference of the lengths
+    start, stop = at(F.col("__head")), at(F.greatest(F.col("__tail"), F.least(F.col("__head") + 1, F.lit(parts))))
+    chars = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
+    mid = keep(ends, __l=F.when(long, F.substr("left", start + 1, stop - start)).otherwise(F.col("left")), __r=F.when(long, F.substr("right", start + 1, stop - start + delta)).otherwise(F.col("right")))
+    cut = keep(mid, __left=chars(F.col("__l")), __right=chars(F.col("__r")))
     cut = cut.filter(F.abs(F.size("__left") - F.size("__right")) <= edits)
     equal = lambda c, j: sum((F.when(F.get("__left", j + (d - edits)) == c, 1 << d).otherwise(0) for d in cells), F.lit(0))
     cut = cut.withColumn("__equal", F.transform("__right", equal))
