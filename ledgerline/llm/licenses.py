@@ -1,10 +1,11 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are a text's lines, as sets of words; a template is found in a block that holds at least
-``threshold`` of its words. Words are ordered by their frequency over the whole corpus, rarest first, so
-that a block must share one of a template's first ``n - ceil(threshold n) + 1`` words (prefix filter),
-hold enough template words at all (length filter), and have enough of them left after the shared one
-(positional filter); what remains is verified by intersection. Only DataFrame functions.
+Blocks are all runs of consecutive words, across line ends, of a template's length and a quarter more, as
+sets of words; a template is found in a block that holds at least ``threshold`` of its words, those that
+tell it from other licenses (``MARKS``) among them. Words are ordered by their frequency over the whole
+corpus, rarest first, so that a block must share one of a template's first ``n - ceil(threshold n) + 1``
+words (prefix filter); the runs around each such word are counted, if the words around it hold enough of the
+template's at all. Only DataFrame functions.
 
 Null text has no words and no blocks. Rows that repeat an id with other text are documents of their own;
 equal rows get equal results. Other columns are ignored.
@@ -32,13 +33,23 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("reserved", "All rights reserved"),
 )
+#: Words that must be in a block if the label's template has them.
+MARKS = {"mit": {"mit"}, "apache-2": {"apache", "2"}, "gpl-3": {"gnu", "3"}, "mpl-2": {"mozilla"}, "cc-by-nc": {"nc"}, "cc-by": {"creative", "commons", "attribution"}}
 THRESHOLD = 0.8
 _NOT_WORD = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans(_UPPER, _LOWER)))))
+    return list(dict.fromkeys(_all_words(text)))
+
+
+def _all_words(text: str) -> list[str]:
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def block_length(text: str) -> int:
+    return math.ceil(1.25 * len(_all_words(text)))
 
 
 def _spaced(text: Column) -> Column:
@@ -59,29 +70,35 @@ def word_order(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES
 
 
 def match_templates(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, order: Sequence[str] | None = None) -> DataFrame:
-    """(block keys, label, containment) of every line and template that meet the threshold.
+    """(keys, label, containment) of every template found, each with its best block.
 
     ``docs`` has the key columns ``k1`` and ``k2`` and ``text``.
     """
     rank = {w: i for i, w in enumerate(order or word_order(docs, templates))}
-    sets = [(label, sorted(template_words(t), key=rank.get)) for label, t in templates]
     rows = []  # a row for each prefix word of each template
-    for number, (label, words) in enumerate(sets):
+    for label, t in templates:
+        words = sorted(template_words(t), key=rank.get)
         need = math.ceil(threshold * len(words) - 1e-9)
-        rows += [(w, number, label, words, i, need) for i, w in enumerate(words[: len(words) - need + 1])]
-    index = F.broadcast(docs.sparkSession.createDataFrame(rows, "word string, template int, label string, words array<string>, i int, need int"))
-    prefixes = sorted({r[0] for r in rows}, key=rank.get)
-    vocabulary = F.array(*(F.lit(w) for w in sorted(rank, key=rank.get)))
+        rows += [(w, label, words, sorted(MARKS.get(label, set()) & set(words)), need, block_length(t)) for w in words[: len(words) - need + 1]]
+    index = F.broadcast(docs.sparkSession.createDataFrame(rows, "word string, label string, words array<string>, marks array<string>, need int, length int"))
+    prefixes, reach = sorted({r[0] for r in rows}, key=rank.get), max(r[-1] for r in rows) - 1
     any_prefix = f"(?i)(?<![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])(?:{'|'.join(prefixes)})(?![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])"
-    near = docs.filter(F.col("text").rlike(any_prefix)).select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("line", "block")).filter(F.col("block").rlike(any_prefix))
-    held = near.select("k1", "k2", "line", F.split(F.translate(_spaced(F.col("block")), _UPPER, _LOWER), " ").alias("all"))
-    blocks = held.select("k1", "k2", "line", F.filter(vocabulary, lambda w: F.array_contains("all", w)).alias("block_words"))
-    entries = blocks.select("*", F.posexplode("block_words").alias("j", "word")).filter(F.col("word").isin(prefixes))
-    n, m = F.size("words"), F.size("block_words")
-    reach = F.least("i", "j") + 1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
-    pairs = entries.join(index, "word").filter((m >= F.col("need")) & (reach >= F.col("need")))
-    shared = F.size(F.array_intersect("block_words", "words"))
-    return pairs.filter(shared >= F.col("need")).select("k1", "k2", "line", "label", (shared / n).alias("containment")).distinct()
+    near = docs.filter(F.col("text").rlike(any_prefix))
+    held = near.select("k1", "k2", F.split(F.translate(F.trim(_spaced(F.col("text"))), _UPPER, _LOWER), " ").alias("all"))
+    places = F.filter(F.transform("all", lambda w, i: F.when(w.isin(prefixes), i + 1)), lambda i: i.isNotNull())
+    placed = held.select("k1", "k2", "all", places.alias("places"))
+    first = lambda at, n: F.greatest(F.lit(1), at - n)
+    # the words around each place, so that long texts aren't carried along with each of them
+    near_by = F.transform("places", lambda i: F.struct((i - first(i, reach) + 1).alias("at"), F.slice("all", first(i, reach), i - first(i, reach) + 1 + reach).alias("near")))
+    entries = placed.select("k1", "k2", F.explode(near_by).alias("e")).select("k1", "k2", "e.at", "e.near", F.element_at("e.near", F.col("e.at")).alias("word"))
+    start = first(F.col("at"), F.col("length") - 1)
+    around = entries.join(index, "word").withColumn("near", F.slice("near", start, F.col("at") - start + F.col("length")))
+    enough = lambda block: (F.size(F.array_intersect(block, "words")) >= F.col("need")) & (F.size(F.array_except("marks", block)) == 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("near") - F.col("length") + 1))
+    blocks = F.filter(F.transform(starts, lambda i: F.slice("near", i, F.col("length"))), enough)
+    shared = F.array_max(F.transform(blocks, lambda b: F.size(F.array_intersect(b, "words"))))
+    best = around.filter(enough(F.col("near"))).select("k1", "k2", "label", (shared / F.size("words")).alias("containment")).filter("containment IS NOT NULL")
+    return best.groupBy("k1", "k2", "label").agg(F.max("containment").alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -260,6 +260,18 @@ def test_licenses_equal_plain_search(spark, docs):
         assert r["score"] == pytest.approx(want[6])
 
 
+NOTICE = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+
+
+def test_license_blocks_cross_lines_and_need_their_marks(spark):
+    scattered = "all " + "filler " * 30 + "rights " + "filler " * 30 + "reserved"
+    made = [NOTICE, f"some words before\n{BSD} and after", "Licensed under CC BY 4.0", "Released under the Apache License", scattered, "Licensed under the Eclipse Public License Version 2.0", "x " * 50 + "All\nrights\nreserved", "GNU General Public License, version 2: this work is licensed under the"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in rows(licenses.scan_licenses(df))}
+    assert got == {0: "mit", 1: "bsd", 2: "", 3: "", 4: "", 5: "", 6: "reserved", 7: ""}
+
+
 # sharding
 
 
