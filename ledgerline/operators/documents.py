@@ -58,26 +58,40 @@ def classify(scores: DataFrame, least: int = 4, lead: int = 3, auto: float = 0.6
     return out.withColumn("route", F.when(F.col("confidence") >= auto, "auto_process").otherwise("manual_review"))
 
 
-def keyword_signals(docs: DataFrame, dictionary: DataFrame, before: int = 150, after: int = 300, max_words: int = 3) -> DataFrame:
-    """First whole-word occurrence of each dictionary keyword (keyword, type, severity; lower case, up to ``max_words`` words) in each text.
+#: A snippet that meets one of these, or has a keyword right after one of the words, gives no signal.
+NEGATIONS = ("i(?:'m| am) fine", "no injuries", "not injured", "wasn't (?:in|hurt|injured)", "was not (?:in|hurt|injured)")
+NEGATING = "(?:no|not|without|denies?|denied|none|wasn't|was not) "
 
-    Texts are cut into runs of words that meet the dictionary in an equi-join on the words; only documents
-    and keywords that met are searched.
+
+def keyword_signals(docs: DataFrame, dictionary: DataFrame, before: int = 150, after: int = 300, longest: int = 800) -> DataFrame:
+    """First whole-word occurrence of each dictionary keyword (keyword, type, severity) in each text, unless its snippet negates it.
+
+    Texts and keywords are cut into words by one rule; runs of as many words as the longest keyword has meet
+    the dictionary in an equi-join, and only documents and keywords that met are searched. Snippets begin at
+    a word and have at most ``longest`` characters.
     """
-    words = F.filter(F.split(F.lower("text"), "[^0-9a-z]+"), lambda w: w != "")
-    tokens = docs.select("doc_id", words.alias("w"))
+    cut = lambda text: F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
+    entries = dictionary.withColumn("run", F.array_join(cut(F.col("keyword")), " ")).filter("run <> ''")
+    max_words = entries.agg(F.max(F.size(F.split("run", " ")))).head()[0] or 1
+    tokens = docs.select("doc_id", cut(F.col("text")).alias("w"))
 
     def grams_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
     grams = [grams_of(n) for n in range(1, max_words + 1)]
-    met = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("keyword")).join(F.broadcast(dictionary), "keyword")
+    met = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("run")).join(F.broadcast(entries), "run")
     found = met.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.regexp_instr(F.lower("text"), F.concat(F.lit("(?<![0-9a-z])"), F.regexp_replace("keyword", " ", "[^0-9a-z]+"), F.lit("(?![0-9a-z])")))
+    pattern = F.regexp_replace("run", " ", "[^0-9a-z]+")
+    at = F.regexp_instr(F.lower("text"), F.concat(F.lit("(?<![0-9a-z])"), pattern, F.lit("(?![0-9a-z])")))
     hit = found.withColumn("at", at).filter("at > 0")
-    snippet = F.substr("text", F.greatest(F.lit(1), F.col("at") - before), (F.least(F.lit(before), F.col("at") - 1) + after).cast("int"))
-    return hit.select("doc_id", "type", "severity", "keyword", "at", snippet.alias("snippet"))
+    head = F.substr("text", F.lit(1), F.greatest(F.lit(0), F.col("at") - 1 - before).cast("int"))
+    start = F.length(head) - F.length(F.regexp_extract(head, "(?<![^ \n.,])[^ \n.,]*+$", 0)) + 1
+    whole = F.substr("text", start, (F.col("at") + F.length("keyword") + after - start).cast("int"))
+    snippet = F.translate(F.regexp_replace(whole, "^\\s+|\\s+$", ""), "\n", " ")
+    short = F.when(F.length(snippet) > longest, F.concat(F.left(snippet, F.lit(longest - 3)), F.lit("…"))).otherwise(snippet)
+    negated = F.rlike(F.lower("snippet"), F.concat(F.lit("|".join(NEGATIONS) + "|" + NEGATING), pattern))
+    return hit.withColumn("snippet", short).filter(~negated).select("doc_id", "type", "severity", "keyword", "at", "snippet")
 
 
 def signal_counts(signals: DataFrame, levels: Sequence[str]) -> DataFrame:

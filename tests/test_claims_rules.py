@@ -138,3 +138,21 @@ def test_date_order_penalties(spark):
     df = spark.createDataFrame([(1, d(2024, 3, 1), d(2024, 2, 1), d(2024, 1, 1), 90, 35, 5), (2, None, d(2024, 2, 1), None, 90, 90, 90)], "rec int, loss date, reported date, closed date, loss_confidence int, reported_confidence int, closed_confidence int")
     got = [tuple(r)[4:] for r in records.date_order_conflicts(df).orderBy("rec").collect()]
     assert got == [(30, 10, 10), (90, 90, 90)]
+
+
+def test_keyword_signals_leave_out_negated_ones_and_cut_keywords_like_texts(spark):
+    from ledgerline.operators.documents import keyword_signals
+
+    words = ["fracture", "injury", "injured", "pre-litigation", "pre-existing condition", "follow-up required", "non-renewing", "extra-contractual", "Loss of the entire estate"]
+    dictionary = spark.createDataFrame([(w, "t", "High") for w in words], "keyword string, type string, severity string")
+    far = "word, " * 40 + "unbroken" * 30 + " "
+    made = [
+        "There is no fracture.", "She denies injury.", "He was not injured", "A fracture was found.", "In pre-litigation: a pre-existing condition, follow-up required",
+        "non-renewing and extra-contractual", "loss of the entire estate", "x" * 900 + " fracture", far + "fracture " + "y" * 400, "I am fine, no pain. Injury is old.",
+    ]
+    got = keyword_signals(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), dictionary).collect()
+    kinds = {i: {r.keyword for r in got if r.doc_id == i} for i in range(len(made))}
+    assert kinds == {0: set(), 1: set(), 2: set(), 3: {words[0]}, 4: set(words[3:6]), 5: set(words[6:8]), 6: {words[8]}, 7: {words[0]}, 8: {words[0]}, 9: set()}
+    snippets = {r.doc_id: r.snippet for r in got}
+    assert len(snippets[7]) == 798 and snippets[7].endswith("…")
+    assert snippets[8].startswith("unbroken" * 30 + " fracture")
