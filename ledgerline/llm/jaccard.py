@@ -1,15 +1,18 @@
 """N-gram Jaccard join: the exact links between documents' shingle sets, as connected components.
 
-Grouped prefix join. Equal sets are one unit. A unit's prefix is its first ``n - ceil(t n) + 1`` shingles
-in one order for all: shingles that few units hold first (by hash), shared ones last, so that a passage
-in many documents doesn't bring them all together. Units with the same prefix and size form one group;
-groups that share a prefix shingle are the candidates, thinned by length, position and bit-map filters;
-their members are then expanded and verified by intersection.
-
-No bucket is expanded into all its pairs. First each bucket and group is linked to its first member (one
-pair a row), the verified links form components, and only members of different components are then
-paired, so that a group of thousands of near copies costs thousands of pairs, and no link between
-components is missed. A component doesn't change by the links left out, which lie inside it.
+Grouped prefix join. Equal sets are one unit. A unit's prefix is its first ``n - ceil(t n) + 1`` shingles in
+one order for all, rare ones first: by the magnitude of their counts in all texts, then by hash. The counts
+are a table of at most ``MAX_COUNTERS`` counters addressed by hash; where shingles share a counter the order
+changes, not the result. Units with the same prefix and size form one group; groups that share a prefix
+shingle are the candidates, thinned by length, position and bit-map filters; their members are then expanded
+and verified by intersection. By position: at its first shared shingle, which is in both prefixes, a linked
+pair has enough shingles left in both.
+
+No bucket is expanded into all its pairs. First each bucket and group is linked to its most central member,
+the one with the fewest rarer shingles (one pair a row); the verified links form components, and only members
+of different components are then paired, so that a group of thousands of near copies costs thousands of
+pairs, and no link between components is missed. A component doesn't change by the links left out, which lie
+inside it.
 
 Whole texts, words split at ASCII white space, A-Z lower-cased. A document without words is linked with
 nothing. Null ids count as the largest and give a null component only if the component has no other.
@@ -29,72 +32,104 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.shingles import ShingleHasher
 from ledgerline.llm.words import lower_blank_words, slices
-from ledgerline.llm.workspace import Workspace, components, sized
+from ledgerline.llm.workspace import HOT_ROWS, Workspace, components, join_hot, sized, unused
 
 SHINGLE_WORDS, MIN_PERCENT = 4, 85
-#: A shingle in the first hashes of so many units is a shared one.
-SHARED_UNITS = 32
 #: Longs of a unit's bit map.
 MAP_LONGS = 16
+#: Counters of shingles: one for so many bytes of text, up to a table that every executor can hold.
+COUNTER_BYTES, MIN_COUNTERS, MAX_COUNTERS = 256, 1 << 12, 1 << 22
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _bit_map(hashes: np.ndarray) -> list[int]:
+def _bit_map(hashes: np.ndarray) -> np.ndarray:
     bits = np.zeros(64 * MAP_LONGS, bool)
     bits[(hashes & (64 * MAP_LONGS - 1))] = True
-    return np.packbits(bits).view(np.int64).tolist()
+    return np.packbits(bits).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrow lists of longs."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
 
+def shingle_magnitudes(docs: DataFrame, words: int) -> np.ndarray:
+    """Magnitude (base 2) of each counter after all shingles of all texts were counted.
 
-def _heads(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row for each document: its size, a 128-bit fingerprint of the set, bit map and the first hashes."""
-    names = ["row", "key", "n", "unit", "check"]
+    Tasks add their counters up in a tree; the driver receives one table.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (size // COUNTER_BYTES).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, total = ShingleHasher(words), np.zeros(counters, np.uint32)
+        for b in slices(batches, "text", 4 << 20):
+            for text in b.column("text"):
+                for h in hasher.spans(lower_blank_words(text.as_py())):
+                    np.add.at(total, h & (counters - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    add = lambda a, b: b if a is None else a if b is None else np.add(a, b, dtype=np.uint64)
+    tasks = docs.select("text").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.uint32))
+    total = tasks.treeAggregate(None, add, add, depth=3)
+    return np.zeros(counters, np.uint8) if total is None else np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+
+
+def _heads(docs: DataFrame, words: int, percent: int, magnitudes) -> DataFrame:
+    """A row for each document: its size, a 128-bit fingerprint of the set, bit map and prefix."""
+    names = ["row", "key", "n", "fp", "check"]
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in names), T.StructField("map", longs), T.StructField("head", longs)])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names), T.StructField("map", longs), T.StructField("prefix", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, row = ShingleHasher(words), TaskContext.get().partitionId() << 40
+        hasher, row, rank = ShingleHasher(words), TaskContext.get().partitionId() << 40, magnitudes.value
         for b in slices(batches, "text", 4 << 20):
-            numbers, maps, heads = [], [], []
-            for text, key in zip(b.column("text"), b.column("key").to_pylist(), strict=True):
-                s = hasher.distinct(lower_blank_words(text.as_py()))
-                n = len(s)
-                p = prefix_size(n, percent)
-                unit, check = fingerprint(s)
-                numbers.append((row, key, n, unit, check))
-                maps.append(_bit_map(s))
-                heads.append(s[: p + max(8, p // 4)] if n else s)
-                row += 1
-            cols = [pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array(maps, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", *names, "map", "head"])
+            sets = [hasher.distinct(lower_blank_words(text.as_py())) for text in b.column("text")]
+            sizes = [len(s) for s in sets]
+            # stable: hashes are sorted, and stay so within a magnitude
+            first = [s[np.argsort(rank[s & (len(rank) - 1)], kind="stable")[: prefix_size(len(s), percent)]] if len(s) else s for s in sets]
+            one, two = fingerprints(sets)
+            numbers = [np.arange(row, row + len(sets)), b.column("key"), sizes, one, two]
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in numbers), _lists([_bit_map(s) for s in sets]), _lists(first)], ["doc_id", *names, "map", "prefix"])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, schema)
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over the mixed hashes of a set."""
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over the mixed hashes of each set."""
+    sizes = np.array([len(s) for s in sets])
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     with np.errstate(over="ignore"):
-        u = s.view(np.uint64)
+        u = np.concatenate([*sets, np.empty(0, np.int64)]).view(np.uint64)
         a = (u ^ (u >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
         b = (u ^ (u >> np.uint64(27))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return tuple(int(x) for x in np.array([(a ^ (a >> np.uint64(28))).sum(), (b ^ (b >> np.uint64(33))).sum()], np.uint64).view(np.int64))
+        out = []
+        for mixed in (a ^ (a >> np.uint64(28)), b ^ (b >> np.uint64(33))):
+            sums = np.zeros(len(sets), np.uint64)
+            if len(starts):
+                sums[sizes > 0] = np.add.reduceat(mixed, starts)
+            out.append(sums.view(np.int64))
+        return out[0], out[1]
 
 
-def _sets(docs: DataFrame, ids: DataFrame, units: DataFrame, words: int) -> DataFrame:
-    """(unit, shingles) of the units in ``units``, from the documents in ``ids``, one for each unit unless rows are repeated."""
-    schema = "unit long, shingles array<long>"
+def _sets(docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """(unit, shingles) of the units in ``units`` (unit, key, fp, check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
         for b in slices(batches, "text", 4 << 20):
             sets = [hasher.distinct(lower_blank_words(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
+            one, two = fingerprints(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), _lists(sets)], ["fp", "check", "shingles"])
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = keyed.join(ids, "key", "left_semi").select("text").mapInArrow(run, schema)
-    return found.join(units, "unit", "left_semi")
+    # rows that are repeated have one key
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(units.select("key").distinct(), "key", "left_semi")
+    return keyed.select("text").mapInArrow(run, "fp long, check long, shingles array<long>").join(units.select("fp", "check", "unit"), ["fp", "check"]).select("unit", "shingles").dropDuplicates(["unit"])
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -102,6 +137,12 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100 + percent) - 1e-9)
 
 
+def _places(percent: int, a: str = "", b: str = "2") -> Column:
+    """Whether sets of sizes n whose first shared shingles are at i may be linked."""
+    n, m, i, j = (F.col(x) for x in (f"n{a}", f"n{b}", f"i{a}", f"i{b}"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= _needed(n, m, percent))
+
+
 def _thin(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of units whose bit maps allow a link, with the sizes."""
     side = lambda x: maps.select(F.col("unit").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
@@ -120,98 +161,89 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
 
 
-def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN_PERCENT, shared_units: int = SHARED_UNITS) -> DataFrame:
+def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN_PERCENT, hot: int = HOT_ROWS) -> DataFrame:
     """doc_id, key (hash of id and text), n_shingles, component and component_id of every document.
 
-    ``component`` is null for a document without words.
+    ``component`` is null for a document without words. ``hot``: rows of one key that a join may bring to one task.
     """
-    work = Workspace(docs.sparkSession)
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    full = work.write(_heads(docs, words, percent), "full")
-    per_unit = full.filter("n > 0").groupBy("unit").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    if per_unit.filter("c0 <> c1").limit(1).count():
-        raise ValueError("two sets share a 64-bit fingerprint; choose another hash seed")
-    repeated = sized(per_unit.filter("copies > 1").select("unit", "first"))
-    units = full.filter("n > 0").join(repeated, "unit", "left").filter("first IS NULL OR row = first")
-    members = work.write(_prefixes(docs, full, units, words, percent, shared_units, work), "members", release=True)
-    rows, maps = work.write(full.select("doc_id", "key", "n", "unit"), "rows"), work.write(units.select("unit", "n", "map"), "maps")
-    work.delete("full")
-
-    # the index: a row for each group and shingle of its prefix that another group has too
-    ids = work.write(members.select("unit", "g", "n"), "ids")
-    many = work.write(ids.groupBy("g").agg(F.min("unit").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "lead"), "many")
-    leads = members.join(sized(many), "g", "left").filter("lead IS NULL OR unit = lead")
-    dealt = leads.select("unit", F.posexplode("prefix").alias("i", "shingle")).repartition("shingle")
-    # all columns are read, so that the exchange serves the join as well
-    met = dealt.groupBy("shingle").agg(F.count("unit").alias("k"), F.min("i").alias("i0")).filter("k > 1 AND i0 >= 0").select("shingle")
-    index = work.write(dealt.join(met, "shingle"), "met", release=True).join(ids, "unit")
-    index = work.write(index, "index")
-    work.delete("members")
-    in_play = sized(work.write(index.select("g").union(many.select("g")).distinct(), "in_play"))
-    active = work.write(ids.join(in_play, "g", "left_semi").select("unit", "g"), "active")
-
-    # one pair a row: the first member of each group and of each bucket
-    places = lambda a, b: (100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}")) & (F.least(f"i{a}", f"i{b}") + 1 + F.least(F.col(f"n{a}") - F.col(f"i{a}") - 1, F.col(f"n{b}") - F.col(f"i{b}") - 1) >= _needed(F.col(f"n{a}"), F.col(f"n{b}"), percent))
-    leaders = index.groupBy("shingle").agg(F.min_by(F.struct("unit", "n", "i"), "g").alias("l")).select("shingle", F.col("l.unit").alias("a"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2"))
-    stars = index.join(leaders, "shingle").filter(places("", "2")).select("a", F.col("unit").alias("b"))
-    inside = active.join(active.groupBy("g").agg(F.min("unit").alias("a")), "g").select("a", F.col("unit").alias("b"))
-    first = work.write(_linked(stars.union(inside).filter("a <> b").distinct(), docs, rows, maps, words, percent, work, "stars"), "links1", release=True)
-    labels = components(first, work, "one")
+    magnitudes = spark.sparkContext.broadcast(shingle_magnitudes(docs, words))
+    full = work.write(_heads(docs, words, percent, magnitudes), "full")
+    magnitudes.unpersist()
+
+    # a unit is named after the first row that has its set
+    copies = full.filter("n > 0").groupBy("fp", "check").agg(F.min("row").alias("unit"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = work.write(copies, "copies")
+    mine = full.filter("n > 0").select("row", "fp", "check", F.struct("fp", "check").alias("set"))
+    named = join_hot(mine, copies.select(F.struct("fp", "check").alias("set"), "unit", "copies"), "set", "copies", hot).select("row", F.coalesce("unit", "row").alias("unit"))
+    named = work.write(named, "named")
+    rows = work.write(full.join(named, "row", "left").select("doc_id", "key", "n", F.coalesce("unit", "row").alias("unit")), "rows")
+    units = full.join(named.filter("unit = row").select("row"), "row", "left_semi").withColumn("g", F.struct(F.xxhash64("n", "prefix"), F.xxhash64(F.lit(7), "n", "prefix")))
+    units = work.write(units.select(F.col("row").alias("unit"), "key", "n", "fp", "check", "map", "prefix", "g"), "units")
+    work.delete("full", "named", "copies")
+
+    # the index: a row for each group, named after its first unit, and shingle of its prefix that another group has too
+    many = work.write(units.groupBy("g").agg(F.min("unit").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "many")
+    grouped = join_hot(units.select("unit", "g"), many, "g", "k", hot).filter("lead IS NOT NULL").select("unit", F.col("lead").alias("group"))
+    grouped = work.write(grouped, "grouped")
+    leads = units.join(grouped.filter("unit <> group").select("unit"), "unit", "left_anti")
+    dealt = leads.select(F.col("unit").alias("group"), "n", F.posexplode("prefix").alias("i", "shingle")).repartition("shingle")
+    # all columns are read, so that the exchange serves the join as well; the most central member leads
+    met = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("i", "group", "n")).alias("l")).filter("k > 1")
+    index = dealt.join(met.select("shingle", F.col("l.group").alias("a"), F.col("l.n").alias("n2"), F.col("l.i").alias("i2")), "shingle")
+    index = work.write(index, "index", release=True)
+
+    # one pair a row: the leader of each bucket and the first unit of each group
+    stars = index.filter(_places(percent)).select("a", F.col("group").alias("b"))
+    inside = grouped.select(F.col("group").alias("a"), F.col("unit").alias("b"))
+    first = work.write(_linked(stars.union(inside).filter("a <> b").distinct(), docs, units, words, percent, work, "stars"), "links1", release=True)
+    labels = work.write(components(first, work, "one", hot), "labels1")
 
     # members of different components that meet in a bucket or group
-    own = work.write(active.join(labels.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "g", F.coalesce("label", "unit").alias("label")), "own")
-    kinds = own.select("g", "label").distinct()
-    spots = index.select("shingle", "g", "n", "i").join(kinds, "g")
-    mixed = spots.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
-    spots = work.write(spots.join(mixed, "shingle"), "spots")
-    other = spots.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "i", "label")))
-    meet = spots.join(other, "shingle").filter((F.col("label") < F.col("label2")) & places("", "2")).select("g", "label", "g2", "label2")
-    split = kinds.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("g")
-    halves = kinds.join(split, "g")
-    within = halves.join(halves.select("g", F.col("label").alias("label2")), "g").filter("label < label2").select("g", "label", F.col("g").alias("g2"), "label2")
-    side = lambda x, y: own.select(F.col("unit").alias(x), F.col("g").alias(f"g{y}"), F.col("label").alias(f"label{y}"))
-    pairs = meet.union(within).distinct().join(side("a", ""), ["g", "label"]).join(side("b", "2"), ["g2", "label2"]).select("a", "b")
-    second = _linked(pairs, docs, rows, maps, words, percent, work, "pairs")
-    links = work.write(first.union(second).distinct(), "links", release=True)
-    labels = work.write(components(links, work, "two"), "labels")
-
-    own = rows.join(labels.withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("label", "unit")).alias("component"))
-    shared = own.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("component IS NOT NULL AND k > 1").select("component", "least")
-    return own.join(shared, "component", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    labelled = lambda df: df.join(sized(labels.withColumnRenamed("node", "unit")), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
+    own = work.write(labelled(grouped), "own")
+    kinds = sized(work.write(own.select("group", "label").distinct(), "kinds"))
+    alone = labelled(index.drop("a", "n2", "i2").join(kinds.select("group").distinct(), "group", "left_anti").withColumnRenamed("group", "unit")).withColumnRenamed("unit", "group")
+    spots = alone.unionByName(index.drop("a", "n2", "i2").join(kinds, "group"))
+    spots = work.write(spots, "spots").repartition("shingle")
+    mixed = spots.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("group", "n", "i"))).filter("x <> y").select("shingle")
+    spots = work.write(spots.join(mixed, "shingle"), "mixed", release=True)
+    work.delete("index", "spots")
+    other = spots.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("group", "n", "i", "label")))
+    meet = spots.join(other, "shingle").filter((F.col("label") < F.col("label2")) & _places(percent)).select("group", "label", "group2", "label2")
+    split = kinds.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("group")
+    halves = kinds.join(split, "group")
+    within = halves.join(halves.select("group", F.col("label").alias("label2")), "group").filter("label < label2").select("group", "label", F.col("group").alias("group2"), "label2")
+    candidates = work.write(meet.union(within).distinct(), "candidates", release=True)
+    side = lambda y: own.select(F.col("unit").alias(f"unit{y}"), F.col("group").alias(f"group{y}"), F.col("label").alias(f"label{y}"))
+    # groups of one unit are no rows of ``own``
+    pairs = candidates.join(side(""), ["group", "label"], "left").join(side("2"), ["group2", "label2"], "left").select(F.coalesce("unit", "group").alias("a"), F.coalesce("unit2", "group2").alias("b"))
+    second = work.write(_linked(pairs.distinct(), docs, units, words, percent, work, "pairs"), "links2", release=True)
+    work.delete("mixed", "candidates", "own", "kinds", "grouped", "many", "units")
+    labels = work.write(components(first.union(second).distinct(), work, "two", hot), "labels2")
+    work.delete("labels1", "links1", "links2")
+
+    # the least id of a unit, then of its component, then back to the rows
+    per_unit = rows.filter("n > 0").groupBy("unit").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("copies"))
+    per_unit = work.write(per_unit.join(sized(labels.withColumnRenamed("node", "unit")), "unit", "left").withColumn("label", F.coalesce("label", "unit")), "per_unit")
+    shared = work.write(per_unit.groupBy("label").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("k"), F.sum("copies").alias("rows")).filter("rows > 1"), "shared")
+    told = join_hot(per_unit, shared.select("label", "least", F.lit(True).alias("many"), "k"), "label", "k", hot)
+    told = work.write(told.filter("many").select("unit", F.col("label").alias("component"), "least", "copies"), "told")
+    own = join_hot(rows, told, "unit", "copies", hot)
+    return own.select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "unit")).alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, maps: DataFrame, words: int, percent: int, work: Workspace, name: str) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, units: DataFrame, words: int, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs of units that are linked; whole sets are made only for those that the bit maps let through."""
-    thin = work.write(_thin(pairs, maps, percent), name, release=True)
-    few = sized(work.write(thin.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), f"{name}_units"))
-    return _verify(thin, work.write(_sets(docs, _keys(rows, few), few, words), f"{name}_sets"), percent)
-
-
-def _keys(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """The key of one document for each of these sets."""
-    return sized(rows.join(units, "unit", "left_semi").groupBy("unit").agg(F.min("key").alias("key")).select("key").distinct())
-
-
-def _prefixes(docs: DataFrame, rows: DataFrame, units: DataFrame, words: int, percent: int, shared_units: int, work: Workspace) -> DataFrame:
-    """unit, n, prefix and g (hash of size and prefix) of every unit."""
-    p = (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int")
-    units = units.select("unit", "n", p.alias("p"), "head")
-    seen = units.select("unit", F.explode(F.slice("head", F.lit(1), F.col("p"))).alias("shingle"))
-    common = sized(work.write(seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= shared_units).select("shingle"), "common", release=True))
-    marks = lambda some: some.join(common, "shingle").groupBy("unit").agg(F.collect_set("shingle").alias("common"))
-    filled = F.coalesce("common", F.array().cast("array<long>"))
-    ordered = lambda every: F.slice(F.concat(F.array_except(every, "common"), F.array_sort(F.array_intersect(every, F.col("common")))), 1, F.col("p"))
-    marked = units.join(sized(work.write(marks(units.select("unit", F.explode("head").alias("shingle"))), "marks")), "unit", "left").withColumn("common", filled)
-    # heads that are mostly shared: their order needs the whole set
-    short = (F.size("head") - F.size("common") < F.col("p")) & (F.size("head") < F.col("n"))
-    few = work.write(marked.filter(short).select("unit", "n", "p"), "short")
-    names = sized(few.select("unit"))
-    whole = work.write(_sets(docs, _keys(rows, names), names, words).dropDuplicates(["unit"]), "whole")
-    full = whole.join(few, "unit").join(marks(whole.select("unit", F.explode("shingles").alias("shingle"))), "unit", "left").withColumn("common", filled)
-    both = marked.filter(~short).select("unit", "n", ordered(F.col("head")).alias("prefix")).union(full.select("unit", "n", ordered(F.col("shingles")).alias("prefix")))
-    return both.withColumn("g", F.xxhash64("n", "prefix"))
+    thin = work.write(_thin(pairs, units.select("unit", "n", "map"), percent), name, release=True)
+    few = sized(thin.select(F.explode(F.array("a", "b")).alias("unit")).distinct())
+    few = sized(work.write(units.select("unit", "key", "fp", "check").join(few, "unit", "left_semi"), f"{name}_units"))
+    links = work.write(_verify(thin, work.write(_sets(docs, few, words), f"{name}_sets", release=True), percent), f"{name}_links", release=True)
+    work.delete(name, f"{name}_units", f"{name}_sets")
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN_PERCENT) -> DataFrame:
@@ -225,12 +257,15 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows with equal id and text are one document; of documents that share the smallest id, the one with
     the smallest text hash stays. Documents without words all stay.
     """
-    found = Workspace(docs.sparkSession).write(jaccard_rows(docs, words, percent), "found")
+    work = Workspace(docs.sparkSession)
+    found = work.write(jaccard_rows(docs, words, percent), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = found.filter("component IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("best")).filter("k > 1").select("component", F.col("best.doc_id").alias("__id"), F.col("best.key").alias("__k"))
-    drop = found.join(best, "component").filter("NOT (doc_id <=> __id AND key = __k)").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    best = work.write(found.filter("component IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("best")).filter("k > 1"), "best")
+    ident, key = unused(docs, "first_id", "row_key")
+    drop = join_hot(found.filter("component IS NOT NULL"), best, "component", "k").filter("best IS NOT NULL AND NOT (doc_id <=> best.doc_id AND key = best.key)")
+    drop = work.write(drop.select(F.col("doc_id").alias(ident), F.col("key").alias(key)).distinct(), "drop")
     mine = F.xxhash64("doc_id", "text")
-    kept = docs.join(sized(drop), F.col("doc_id").eqNullSafe(F.col("__id")) & (mine == F.col("__key")), "left_anti")
+    kept = docs.join(sized(drop), F.col("doc_id").eqNullSafe(F.col(ident)) & (mine == F.col(key)), "left_anti")
     if found.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():
-        kept = kept.withColumn("__key", mine).dropDuplicates(["doc_id", "__key"]).drop("__key")
+        kept = kept.withColumn(key, mine).dropDuplicates(["doc_id", key]).drop(key)
     return kept

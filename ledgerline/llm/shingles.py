@@ -51,10 +51,14 @@ class ShingleHasher:
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             return (h ^ (h >> np.uint64(32))).view(np.int64)
 
+    def spans(self, words: list[bytes]) -> list[np.ndarray]:
+        """Hashes of all shingles, in parts; of the whole list if it is shorter than one."""
+        size = min(self.size, len(words))
+        return [self._spans(words[i : i + _CHUNK_WORDS + size - 1], size) for i in range(0, len(words) - size + 1, _CHUNK_WORDS)] if words else []
+
     def distinct(self, words: list[bytes]) -> np.ndarray:
-        """Sorted distinct hashes of the shingles; of the whole list if it is shorter than one."""
+        """Sorted distinct hashes of the shingles."""
         if not words:
             return np.empty(0, np.int64)
-        size = min(self.size, len(words))
-        parts = [self._spans(words[i : i + _CHUNK_WORDS + size - 1], size) for i in range(0, len(words) - size + 1, _CHUNK_WORDS)]
+        parts = self.spans(words)
         return np.unique(np.concatenate(parts) if len(parts) > 1 else parts[0])

@@ -8,7 +8,7 @@ ODD_ROWS = [
     (1, "", "en"), (2, None, "en"), (None, "some text without an id", None), (3, " \n\t ", "en"), (4, LONG, "en"),
     (5, "same words here", "en"), (5, "same words here", "en"), (5, "other words here", "en"), (6, "same words here", None), (7, "Été çà Éİ ﬁ \U0001f600 naïve", "fr"),
 ]
-CLASHES = ("n_words", "shard", "slot", "secrets", "__group", "ids", "hits", "k1", "spans")
+CLASHES = ("n_words", "shard", "slot", "secrets", "__group", "ids", "hits", "k1", "spans", "__hits", "__items", "__n_words", "__k", "__drop", "__id", "__key", "first_id", "row_key")
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerline.llm import jaccard
+from ledgerline.llm import jaccard, workspace
 from ledgerline.llm.shingles import ShingleHasher
 from ledgerline.llm.workspace import Workspace, components
 
@@ -70,11 +70,14 @@ def made_table(seed, hot=60):
     return [(i, " ".join(t)) for i, t in enumerate(table)]
 
 
-@pytest.mark.parametrize(("seed", "shared"), [(1, 32), (2, 4)])
-def test_components_equal_all_pairs(spark, seed, shared):
+@pytest.mark.parametrize(("seed", "counters", "few"), [(1, 1 << 12, 1_000_000), (2, 16, 3)])
+def test_components_equal_all_pairs(spark, monkeypatch, seed, counters, few):
+    monkeypatch.setattr(jaccard, "MIN_COUNTERS", counters)
+    monkeypatch.setattr(jaccard, "MAX_COUNTERS", counters)
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", few)  # few: keys of many rows are joined apart
     table = made_table(seed)
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
-    got = jaccard.jaccard_rows(df, shared_units=shared).select("doc_id", "n_shingles", "component_id")
+    got = jaccard.jaccard_rows(df, hot=8).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect()), key=str) == plain_components(table, 4, 85)
 
 
