@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.words import alnum_words, slices
+from ledgerline.llm.workspace import unused
 
 WINDOW = 10
 BLOCK = 2
@@ -104,12 +105,13 @@ def benchmark_blocks(benchmark: DataFrame, max_words: int = MAX_WORDS) -> Iterat
         yield [(r.item_id, r.text) for r in part.toLocalIterator()]
 
 
-def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """The columns of ``docs``, ``__n_words``, ``__hits`` (flat word ranges) and ``__items``; no shuffle."""
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> tuple[DataFrame, list[str]]:
+    """The columns of ``docs`` with the number of words, hits (flat word ranges) and items, and the names of these three; no shuffle."""
     spark = docs.sparkSession
-    state = [T.StructField("__n_words", T.LongType()), T.StructField("__hits", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+    own = n_words, found, matched = unused(docs, "n_words", "hits", "items")
+    state = [T.StructField(n_words, T.LongType()), T.StructField(found, T.ArrayType(T.LongType())), T.StructField(matched, T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *state])
-    out = docs.select("*", F.lit(None).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
+    out = docs.select("*", F.lit(None).cast("long").alias(n_words), F.array().cast("array<long>").alias(found), F.array().cast("array<string>").alias(matched))
     for rows in benchmark_blocks(benchmark, max_words):
         sent = spark.sparkContext.broadcast(rows)
 
@@ -117,7 +119,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
             searchers = machines(sent.value, window)
             for b in slices(batches, "text"):
                 counts, hits, names = [], [], []
-                for text, old, had in zip(b.column("text"), b.column("__hits").to_pylist(), b.column("__items").to_pylist(), strict=True):
+                for text, old, had in zip(b.column("text"), b.column(found).to_pylist(), b.column(matched).to_pylist(), strict=True):
                     words = alnum_words(text.as_py())
                     ranges, items = find_hits(words, searchers)
                     counts.append(len(words))
@@ -127,26 +129,27 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
                 yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out
+    return out, own
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without any occurrence of a test window, columns as they were."""
-    return search_benchmark(docs, benchmark, window).filter(F.size("__hits") == 0).drop("__n_words", "__hits", "__items")
+    found, own = search_benchmark(docs, benchmark, window)
+    return found.filter(F.size(own[1]) == 0).drop(*own)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items found, their digest, and the word ranges."""
-    found = search_benchmark(docs.select("doc_id", "text"), benchmark, window)
-    at = lambda i, k: F.element_at("__hits", (2 * i + k).cast("int"))
-    n = F.floor(F.size("__hits") / 2).cast("int")
+    found, (n_words, hits, items) = search_benchmark(docs.select("doc_id", "text"), benchmark, window)
+    at = lambda i, k: F.element_at(hits, (2 * i + k).cast("int"))
+    n = F.floor(F.size(hits) / 2).cast("int")
     hit = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: acc + at(i, 2) - at(i, 1))).otherwise(F.lit(0).cast("long"))
     return found.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__hits") > 0).alias("contaminated"),
-        F.col("__hits").alias("hit_ranges"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size(hits) > 0).alias("contaminated"),
+        F.col(hits).alias("hit_ranges"),
     )

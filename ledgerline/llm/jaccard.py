@@ -38,7 +38,7 @@ SHINGLE_WORDS, MIN_PERCENT = 4, 85
 #: Longs of a unit's bit map.
 MAP_LONGS = 16
 #: Counters of shingles: one for so many bytes of text, up to a table that every executor can hold.
-COUNTER_BYTES, MIN_COUNTERS, MAX_COUNTERS = 256, 1 << 12, 1 << 22
+COUNTER_BYTES, MIN_COUNTERS, MAX_COUNTERS = 256, 1 << 12, 1 << 20
 
 
 def prefix_size(n: int, percent: int) -> int:

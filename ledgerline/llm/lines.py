@@ -8,9 +8,10 @@ Distinct lines are split into ``max_edits + 1`` even segments; two lines within
 at a place that follows from their lengths, so each line indexes its segments and probes those of lines
 up to ``max_edits`` shorter (length-aware substring index). A segment that many lines share isn't
 expanded into pairs: those lines are keyed again by all but ``max_edits`` of ``FINE_SEGMENTS`` segments,
-which still covers every pair. Candidates that share enough of eight parts are verified, between the first
-and the last part that differs, by an automaton whose states are the diagonals of the edit band, as bits of
-one integer for each number of edits. Only DataFrame functions.
+which still covers every pair; of lines that meet there only those are paired whose letter counts an edit
+distance within the threshold allows. Candidates with such counts that share enough of eight parts are
+verified, between the first and the last part that differs, by an automaton whose states are the diagonals of
+the edit band, as bits of one integer for each number of edits. Only DataFrame functions.
 
 Null text stays null. Rows that agree in id and text are one document and lose the same lines; rows that
 repeat an id with another text are documents of their own. All other columns stay as they are.
@@ -23,12 +24,16 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.workspace import BROADCAST_ROWS, Workspace, sized
+from ledgerline.llm.workspace import Workspace, sized, unused
 
 MIN_CHARS, NEAR_CHARS, MAX_EDITS = 10, 24, 2
 #: Lines that share a segment at most, to be paired by it alone.
 BUCKET_LINES = 16
 FINE_SEGMENTS = 5
+#: Letters that are counted, one byte each; any choice is right, frequent ones tell more lines apart.
+LETTERS = "etaoinshrdlucmfw"
+#: Bytes that may be sent to every executor; a line's number takes 4, a document's row about 64.
+BROADCAST_BYTES = 64 << 20
 
 #: A key: (difference of the lengths, number, [(first segment, end segment, shift)]); shift 0 throughout indexes.
 Scheme = list[tuple[int, int, list[tuple[int, int, int]]]]
@@ -71,6 +76,18 @@ def _keys(line: Column, length: Column, scheme: Scheme, segments: int) -> Column
     return F.array(*out)
 
 
+def _letters(line: Column) -> list[Column]:
+    """Two longs of eight counts each, up to 255."""
+    times = lambda c: F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+    return [sum((F.shiftleft(times(c), 8 * i) for i, c in enumerate(LETTERS[at : at + 8])), F.lit(0).cast("long")) for at in (0, 8)]
+
+
+def _alike(a: list[Column], b: list[Column], edits: int) -> Column:
+    """Whether letter counts differ by what so many edits change at most: each takes one letter and brings one."""
+    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    return sum((F.abs(byte(x, i) - byte(y, i)) for x, y in zip(a, b, strict=True) for i in range(8)), F.lit(0).cast("long")) <= 2 * edits
+
+
 def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     """The rows of ``pairs`` whose strings ``left`` and ``right`` are at most ``edits`` edits apart.
 
@@ -86,7 +103,9 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     shifts = F.array(*(F.lit(s) for s in sorted(range(-edits, edits + 1), key=abs)))
     met = F.size(F.filter(every, lambda i: F.exists(shifts, lambda s: same(i, s))))
-    thin = pairs.filter((F.abs(delta) <= edits) & ((n < parts * (edits + 1)) | (met >= parts - edits)))
+    counted = pairs.select("*", *(c.alias(f"__{x}{i}") for x in ("left", "right") for i, c in enumerate(_letters(F.col(x)))))
+    counted = counted.filter((F.abs(delta) <= edits) & _alike([F.col("__left0"), F.col("__left1")], [F.col("__right0"), F.col("__right1")], edits)).select(*pairs.columns)
+    thin = counted.filter((n < parts * (edits + 1)) | (met >= parts - edits))
     thin = thin.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Generated columns: a filter above would otherwise take their expressions along into every use of them.
     keep = lambda df, **made: df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in made.items())))))
@@ -127,14 +146,19 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line", "size"))
 
 
-def _pairs(keyed: DataFrame, bucket: int | None, work: Workspace, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) that share a key in buckets of up to ``bucket`` lines, and the lines (h) of larger ones."""
+def _pairs(keyed: DataFrame, bucket: int | None, work: Workspace, name: str, edits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) that share a key in buckets of up to ``bucket`` lines, and the lines (h) of larger ones; with ``edits`` letter counts (c0, c1) must be alike."""
     dealt = keyed.repartition("key")
+    more = [c for c in keyed.columns if c in ("c0", "c1")]
     stats = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("x"), F.max("h").alias("y"), F.bool_and("probe").alias("no_index"))
-    met = work.write(dealt.join(stats.filter("x <> y AND NOT no_index").select("key", "rows"), "key"), name)
+    met = work.write(dealt.join(stats.filter("x <> y AND NOT no_index").select("key", "rows"), "key"), name, release=True)
     small = met if bucket is None else met.filter(F.col("rows") <= bucket)
-    index, other = small.filter("NOT probe").select("key", F.col("h").alias("a")), small.select("key", F.col("h").alias("b"), "probe")
-    pairs = index.join(other, "key").filter("a <> b AND (probe OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = small.filter("NOT probe").select("key", F.col("h").alias("a"), *(F.col(c).alias(f"{c}a") for c in more))
+    other = small.select("key", F.col("h").alias("b"), "probe", *(F.col(c).alias(f"{c}b") for c in more))
+    meet = F.expr("a <> b AND (probe OR a < b)")
+    if edits is not None:
+        meet = meet & _alike([F.col("c0a"), F.col("c1a")], [F.col("c0b"), F.col("c1b")], edits)
+    pairs = index.join(other, "key").filter(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs, None if bucket is None else met.filter(F.col("rows") > bucket).select("h").distinct()
 
 
@@ -148,58 +172,66 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     # the text of lines where they first occur
     places = firsts.filter(F.col("size") >= near_chars).groupBy(F.col("first.k").alias("__k")).agg(F.collect_set("first.no").alias("__nos"))
     places = work.write(places, "places")
-    total = places.agg(F.sum(F.size("__nos"))).head()[0] or 0
-    places = F.broadcast(places) if total <= 4 * BROADCAST_ROWS else places
+    size = places.agg(F.sum(4 * F.size("__nos") + 64)).head()[0] or 0
+    places = F.broadcast(places) if size <= BROADCAST_BYTES else places
     here = docs.join(places, F.xxhash64("doc_id", "text") == F.col("__k"))
     kept = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("__nos", i), F.btrim(x, F.lit(" \t\r"))))
     texts = _hashed(here.select(F.explode(F.array_distinct(kept)).alias("line")).filter("line IS NOT NULL").withColumn("size", F.length("line")))
+    texts = work.write(texts, "texts")
 
     segments = max_edits + 1
     keyed = texts.select("h", F.explode(_keys(F.col("line"), F.col("size"), coarse_scheme(max_edits), segments)).alias("e")).select("e.key", "h", "e.probe")
     near, crowded = _pairs(keyed, bucket_lines, work, "coarse")
     crowded = sized(work.write(crowded, "crowded"))
-    again = texts.join(crowded, "h").select("h", F.explode(_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe")
-    fine, _ = _pairs(again, None, work, "fine")
-    pairs = work.write(near.union(fine).distinct(), "pairs")
+    one, two = _letters(F.col("line"))
+    again = texts.join(crowded, "h").select("h", one.alias("c0"), two.alias("c1"), F.explode(_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
+    fine, _ = _pairs(again, None, work, "fine", max_edits)
+    pairs = work.write(near.union(fine).distinct(), "pairs", release=True)
+    work.delete("coarse", "fine", "crowded", "places")
 
     wanted = sized(work.write(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted"))
-    found = work.write(texts.join(wanted, "h").select("h", "h2", "line").distinct().join(firsts.select("h", "h2", "first"), ["h", "h2"]), "found")
+    found = work.write(texts.join(wanted, "h").select("h", "h2", "line").distinct().join(firsts.select("h", "h2", "first"), ["h", "h2"]), "found", release=True)
+    work.delete("texts", "wanted")
     side = lambda x, y: found.select(F.col("h").alias(x), F.struct("first", "h", "h2").alias(f"at_{x}"), F.col("line").alias(y))
     links = within_edits(pairs.join(side("a", "left"), "a").join(side("b", "right"), "b"), max_edits)
-    later = links.select(F.greatest("at_a", "at_b").alias("at")).select("at.h", "at.h2", F.lit(True).alias("near")).distinct()
-    later = sized(work.write(later, "later"))
-    judged = firsts.join(later, ["h", "h2"], "left").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    mine = occurrences.join(judged, ["h", "h2"]).withColumn("own", (F.col("first.k") == F.col("k")) & (F.col("first.no") == F.col("no")) & F.col("first.id").eqNullSafe(F.col("id")))
-    return mine.filter("near OR NOT own").select("k", "no", (F.col("near") & F.col("own")).alias("near")).distinct()
+    near = work.write(links.select(F.greatest("at_a", "at_b")["first"].alias("at")).select("at.k", "at.no", F.lit(True).alias("near")).distinct(), "near")
+    # what isn't the first of its kind is a copy; a key for nearly every row, so that a common line fills no task
+    copies = occurrences.select("k", "no").distinct().join(firsts.select("first.k", "first.no"), ["k", "no"], "left_anti")
+    dropped = work.write(copies.withColumn("near", F.lit(False)).unionByName(near), "dropped", release=True)
+    work.delete("occurrences", "firsts", "pairs", "found", "near")
+    return dropped
 
 
-def mark_lines(docs: DataFrame, **limits: int) -> DataFrame:
-    """``docs`` with ``__drop``, a map from the numbers of lines to drop to whether they are only near copies."""
-    drops = dropped_lines(docs, **limits).groupBy(F.col("k").alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("no", "near"))).alias("__drop"))
-    drops = Workspace(docs.sparkSession).write(drops, "drops")
-    total = drops.agg(F.sum(F.size("__drop"))).head()[0] or 0
-    return docs.join(F.broadcast(drops) if total <= 4 * BROADCAST_ROWS else drops, F.xxhash64("doc_id", "text") == F.col("__k"), "left").drop("__k")
+def mark_lines(docs: DataFrame, **limits: int) -> tuple[DataFrame, str]:
+    """``docs`` with a map from the numbers of lines to drop to whether they are only near copies, and that column's name."""
+    key, drop = unused(docs, "line_key", "line_drop")
+    work = Workspace(docs.sparkSession)
+    drops = dropped_lines(docs, **limits).groupBy(F.col("k").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("no", "near"))).alias(drop))
+    drops = work.write(drops, "drops")
+    size = drops.agg(F.sum(16 * F.size(drop) + 64)).head()[0] or 0
+    return docs.join(F.broadcast(drops) if size <= BROADCAST_BYTES else drops, F.xxhash64("doc_id", "text") == F.col(key), "left").drop(key), drop
 
 
-def _rest() -> Column:
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.map_contains_key("__drop", i))
-    return F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+def _rest(drop: str) -> Column:
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.map_contains_key(drop, i))
+    return F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
 def dedup_lines(docs: DataFrame, **limits: int) -> DataFrame:
     """``docs`` with the dropped lines gone from ``text`` and, where there is one, ``n_chars`` counted anew."""
-    out = mark_lines(docs, **limits).withColumn("text", _rest())
+    out, drop = mark_lines(docs, **limits)
+    out = out.withColumn("text", _rest(drop))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def line_report(docs: DataFrame, **limits: int) -> DataFrame:
     """Per document: its lines, those dropped as exact and as near copies, and the text that stays."""
-    gone = lambda near: F.coalesce(F.size(F.filter(F.map_values("__drop"), lambda x: x == F.lit(near))), F.lit(0)).cast("long")
-    marked = mark_lines(docs.select("doc_id", "text"), **limits)
-    none = F.col("__drop").isNull()
+    marked, drop = mark_lines(docs.select("doc_id", "text"), **limits)
+    gone = lambda near: F.coalesce(F.size(F.filter(F.map_values(drop), lambda x: x == F.lit(near))), F.lit(0)).cast("long")
+    none = F.col(drop).isNull()
     return marked.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(gone(False)).cast("long").alias("n_exact"), F.when(none, 0).otherwise(gone(True)).cast("long").alias("n_near"), _rest().alias("text"),
+        F.when(none, 0).otherwise(gone(False)).cast("long").alias("n_exact"), F.when(none, 0).otherwise(gone(True)).cast("long").alias("n_near"), _rest(drop).alias("text"),
     )
