@@ -39,6 +39,8 @@ SHINGLE_WORDS, MIN_PERCENT = 4, 85
 MAP_LONGS = 16
 #: Counters of shingles: one for so many bytes of text, up to a table that every executor can hold.
 COUNTER_BYTES, MIN_COUNTERS, MAX_COUNTERS = 256, 1 << 12, 1 << 20
+#: Tables of counters that one task, and the driver, adds up.
+FAN_IN = 8
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -57,10 +59,10 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def shingle_magnitudes(docs: DataFrame, words: int) -> np.ndarray:
+def shingle_magnitudes(docs: DataFrame, words: int, work: Workspace) -> np.ndarray:
     """Magnitude (base 2) of each counter after all shingles of all texts were counted.
 
-    Tasks add their counters up in a tree; the driver receives one table.
+    Tasks add counters up, ``FAN_IN`` tables a task, until the driver can add the last few.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (size // COUNTER_BYTES).bit_length()))
@@ -71,12 +73,23 @@ def shingle_magnitudes(docs: DataFrame, words: int) -> np.ndarray:
             for text in b.column("text"):
                 for h in hasher.spans(lower_blank_words(text.as_py())):
                     np.add.at(total, h & (counters - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.uint64).tobytes()], pa.binary())], ["counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.uint64)
+        for b in batches:
+            for raw in b.column("counts"):
+                total += np.frombuffer(raw.as_buffer(), np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    add = lambda a, b: b if a is None else a if b is None else np.add(a, b, dtype=np.uint64)
-    tasks = docs.select("text").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(r.counts, np.uint32))
-    total = tasks.treeAggregate(None, add, add, depth=3)
-    return np.zeros(counters, np.uint8) if total is None else np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+    table = work.write(docs.select("text").mapInArrow(run, "counts binary"), "counters")
+    while (n := table.count()) > FAN_IN:
+        table = work.write(table.repartition(-(-n // FAN_IN)).mapInArrow(add_up, "counts binary"), f"counters{n}")
+    total = np.zeros(counters, np.uint64)
+    for r in table.toLocalIterator():
+        total += np.frombuffer(r.counts, np.uint64)
+    work.delete("counters")
+    return np.ceil(np.log2(total + 1.0)).astype(np.uint8)
 
 
 def _heads(docs: DataFrame, words: int, percent: int, magnitudes) -> DataFrame:
@@ -168,7 +181,7 @@ def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    magnitudes = spark.sparkContext.broadcast(shingle_magnitudes(docs, words))
+    magnitudes = spark.sparkContext.broadcast(shingle_magnitudes(docs, words, work))
     full = work.write(_heads(docs, words, percent, magnitudes), "full")
     magnitudes.unpersist()
 
