@@ -69,7 +69,7 @@ def shingle_magnitudes(docs: DataFrame, words: int, work: Workspace) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = ShingleHasher(words), np.zeros(counters, np.uint32)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             for text in b.column("text"):
                 for h in hasher.spans(lower_blank_words(text.as_py())):
                     np.add.at(total, h & (counters - 1), 1)
@@ -100,7 +100,7 @@ def _heads(docs: DataFrame, words: int, percent: int, magnitudes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, row, rank = ShingleHasher(words), TaskContext.get().partitionId() << 40, magnitudes.value
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             sets = [hasher.distinct(lower_blank_words(text.as_py())) for text in b.column("text")]
             sizes = [len(s) for s in sets]
             # stable: hashes are sorted, and stay so within a magnitude
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, units: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(words)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             sets = [hasher.distinct(lower_blank_words(t.as_py())) for t in b.column("text")]
             one, two = fingerprints(sets)
             yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), _lists(sets)], ["fp", "check", "shingles"])

@@ -19,8 +19,8 @@ import regex
 import tiktoken
 
 _PLAIN = re.compile("[^\n\r\t\x20-\x7e¡-ɏ]")
-#: Chunks that one worker remembers; when full it starts anew. Longer chunks are not remembered.
-CACHE_CHUNKS, CACHE_CHARS = 700_000, 40
+#: Chunks that one worker remembers; when full it keeps those of the texts at hand. Longer chunks are not remembered.
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
 
 
 #: How the vocabulary's words are cut out of a chunk, as its file says.
@@ -75,8 +75,7 @@ class ChunkTokenizer:
         chunks = [None if t and _PLAIN.search(t) else (t or "").split() for t in texts]
         new = set().union(*(c for c in chunks if c)).difference(self.known)
         if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {}
-            new = set().union(*(c for c in chunks if c))
+            self.known = {k: self.known[k] for k in set().union(*(c for c in chunks if c)) - new}
         asked = list(new)
         got = dict(zip(asked, self._ask_chunks(asked), strict=True))
         self.known.update((k, v) for k, v in got.items() if len(k) <= CACHE_CHARS)

@@ -30,7 +30,7 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_ALNUM).split() if text else []
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` of ``column``, so that long texts don't pile up."""
     for batch in batches:
         if not batch.num_rows:
