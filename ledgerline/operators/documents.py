@@ -66,22 +66,24 @@ NEGATING = "(?:no|not|without|denies?|denied|none|wasn't|was not) "
 def keyword_signals(docs: DataFrame, dictionary: DataFrame, before: int = 150, after: int = 300, longest: int = 800) -> DataFrame:
     """First whole-word occurrence of each dictionary keyword (keyword, type, severity) in each text, unless its snippet negates it.
 
-    Texts and keywords are cut into words by one rule; runs of as many words as the longest keyword has meet
-    the dictionary in an equi-join, and only documents and keywords that met are searched. Snippets begin at
-    a word and have at most ``longest`` characters.
+    Texts and keywords are cut into words by one rule; a text's runs of as many words as keywords have are
+    held against the dictionary in the text's own row, so nothing is shuffled and repeated ids don't multiply,
+    and only keywords that a text has are searched. Snippets begin at a word and have at most ``longest``
+    characters. The dictionary is small and its keywords come to the driver; its other columns are kept.
     """
     cut = lambda text: F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
     entries = dictionary.withColumn("run", F.array_join(cut(F.col("keyword")), " ")).filter("run <> ''")
-    max_words = entries.agg(F.max(F.size(F.split("run", " ")))).head()[0] or 1
-    tokens = docs.select("doc_id", cut(F.col("text")).alias("w"))
+    runs = sorted({r.run for r in entries.select("run").distinct().collect()})
+    lengths = sorted({1 + r.count(" ") for r in runs})
 
     def grams_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
-    grams = [grams_of(n) for n in range(1, max_words + 1)]
-    met = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("run")).join(F.broadcast(entries), "run")
-    found = met.join(docs.select("doc_id", "text"), "doc_id")
+    has = F.array_intersect(F.concat(*(grams_of(n) for n in lengths)), F.array(*(F.lit(r) for r in runs))) if runs else F.array().cast("array<string>")
+    kept = [c for c in docs.columns if c in ("doc_id", "doc_type", "text")]
+    met = docs.select(*kept, cut(F.col("text")).alias("w")).select(*kept, F.explode(has).alias("run"))
+    found = met.join(F.broadcast(entries), "run")
     pattern = F.regexp_replace("run", " ", "[^0-9a-z]+")
     at = F.regexp_instr(F.lower("text"), F.concat(F.lit("(?<![0-9a-z])"), pattern, F.lit("(?![0-9a-z])")))
     hit = found.withColumn("at", at).filter("at > 0")
@@ -91,7 +93,20 @@ def keyword_signals(docs: DataFrame, dictionary: DataFrame, before: int = 150, a
     snippet = F.translate(F.regexp_replace(whole, "^\\s+|\\s+$", ""), "\n", " ")
     short = F.when(F.length(snippet) > longest, F.concat(F.left(snippet, F.lit(longest - 3)), F.lit("…"))).otherwise(snippet)
     negated = F.rlike(F.lower("snippet"), F.concat(F.lit("|".join(NEGATIONS) + "|" + NEGATING), pattern))
-    return hit.withColumn("snippet", short).filter(~negated).select("doc_id", "type", "severity", "keyword", "at", "snippet")
+    more = [c for c in (*docs.columns, *dictionary.columns) if c in ("doc_type", "for_type")]
+    return hit.withColumn("snippet", short).filter(~negated).select("doc_id", "type", "severity", "keyword", "at", "snippet", *more)
+
+
+def typed_signals(docs: DataFrame, entities: DataFrame, dictionary: DataFrame, before: int = 80, after: int = 200) -> DataFrame:
+    """Signals of documents (doc_id, doc_type, text) by a dictionary (keyword, type, severity, for_type) in text and entity values.
+
+    Entries for another document type give none; those without a type hold for all. The values of a document's
+    entities (doc_id, value) follow its text.
+    """
+    values = entities.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("values"))
+    whole = docs.join(values, "doc_id", "left").select("doc_id", "doc_type", F.concat_ws(" ", "text", "values").alias("text"))
+    found = keyword_signals(whole, dictionary, before, after)
+    return found.filter("for_type IS NULL OR for_type = doc_type").drop("for_type")
 
 
 def signal_counts(signals: DataFrame, levels: Sequence[str]) -> DataFrame:

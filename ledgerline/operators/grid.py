@@ -150,3 +150,100 @@ def fill_if_empty(main: DataFrame, sub: DataFrame) -> DataFrame:
     both = main.withColumn("p", F.lit(0)).unionByName(sub.withColumn("p", F.lit(1))).filter("trim(value) <> ''")
     w = Window.partitionBy("sheet", "row_no", "field").orderBy("p", "value")
     return both.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("p", "r")
+
+
+LEGACY_AMOUNTS = ("paid", "incurred", "outstanding")  # fixed values
+
+
+def _two_rows(grid: DataFrame, rows: int) -> DataFrame:
+    """Neighbouring top rows of a sheet with the number of filled cells, and cells at all, of both."""
+    w = Window.partitionBy("sheet").orderBy("row_no")
+    there = lambda c: F.size(F.filter(c, lambda x: x.isNotNull()))
+    filled = lambda c: F.size(F.filter(c, lambda x: x.isNotNull() & (x != "")))
+    two = grid.filter(F.col("row_no") <= rows + 1).withColumn("under", F.lead("cells").over(w)).filter(F.col("under").isNotNull() & (F.col("row_no") <= rows))
+    text = F.lower(F.array_join(F.filter(F.concat("cells", "under"), lambda x: x.isNotNull() & (x != "")), " "))
+    return two.select("sheet", "row_no", text.alias("text"), there(F.col("cells")).alias("there1"), there(F.col("under")).alias("there2"), filled(F.col("cells")).alias("filled1"), filled(F.col("under")).alias("filled2"))
+
+
+def legacy_sheets(grid: DataFrame) -> DataFrame:
+    """(sheet, legacy): whether a sheet is laid out for print, with dashed separators or a header of a sparse and a full row."""
+    dashed = grid.groupBy("sheet").agg(F.bool_or(is_separator(F.col("cells"))).alias("dashed"))
+    wide = (F.col("there2") >= 5) & (F.col("there1") >= 2) & (F.col("filled1") >= 2) & (F.col("filled2") > 1.5 * F.col("filled1"))
+    named = _has(F.col("text"), ("file", "claim")) & _has(F.col("text"), LEGACY_AMOUNTS)
+    headed = _two_rows(grid, TOP_ROWS).groupBy("sheet").agg(F.bool_or(wide & named).alias("headed"))
+    return dashed.join(headed, "sheet", "left").select("sheet", (F.col("dashed") | F.coalesce("headed", F.lit(False))).alias("legacy"))
+
+
+def legacy_header_rows(grid: DataFrame, top: int = 25) -> DataFrame:
+    """(sheet, first_row, second_row) of the first two-row header; both the same where the upper row is nearly empty."""
+    named = _has(F.col("text"), ("file", "claim", "assured")) & _has(F.col("text"), LEGACY_AMOUNTS)
+    first = F.when(F.col("filled1") >= 2, F.col("row_no")).when(F.col("filled2") >= 5, F.col("row_no") + 1)
+    found = _two_rows(grid, top).filter((F.col("filled2") >= 4) & named).withColumn("first_row", first).filter("first_row IS NOT NULL")
+    return found.groupBy("sheet").agg(F.min_by(F.struct("first_row", (F.col("row_no") + 1).alias("second_row")), "row_no").alias("h")).select("sheet", "h.first_row", "h.second_row")
+
+
+def is_subtotal(cells: Column) -> Column:
+    return F.coalesce(F.get(_filled(cells), F.lit(0)).rlike("(?i)^total(?![0-9a-z_])"), F.lit(False))
+
+
+def is_subrow(cells: Column) -> Column:
+    """Rows that continue a record: no first cell, one to three filled ones, something in the second or fourth."""
+    n = F.size(_filled(cells))
+    return (F.size(cells) > 0) & F.get(cells, F.lit(0)).isNull() & n.between(1, 3) & (F.get(cells, F.lit(1)).isNotNull() | F.get(cells, F.lit(3)).isNotNull())
+
+
+def row_kinds(grid: DataFrame) -> DataFrame:
+    """Rows with their kind: close (blank, separators, subtotals, aggregates), sub or main."""
+    c = F.col("cells")
+    closing = (F.size(_filled(c)) == 0) | is_separator(c) | is_subtotal(c) | is_aggregate(c)
+    return grid.withColumn("kind", F.when(closing, "close").when(is_subrow(c), "sub").otherwise("main"))
+
+
+# Fixed values.
+_DAY = "\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{2,4}|\\d{1,2}\\s+\\w+\\s+\\d{4}"
+_TO = "[\\s\u2013\u2014\\-to]+"
+#: Field, pattern, group; of these only the first region with the field counts as understood.
+BANNER_ONCE = (
+    ("Policy Number", "Policy\\s*(?:#|No\\.?|Number)?\\s*[:\\-]\\s*([A-Z0-9][A-Z0-9\\-/.]+)", 1), ("Insured Name", "Insured\\s*[:\\-]\\s*([^|;]+)", 1),
+    ("Contract Number", "Contract\\s*(?:No\\.?|Number|#|Ref)?\\s*[:\\-]\\s*([A-Z0-9][A-Z0-9\\-/.]+)", 1),
+)
+_STATE, _CARRIER = "State\\s*[:\\-]\\s*([^|;]+)", "Carrier\\s*[:\\-]\\s*([^|;]+)"
+_UNDERWRITING, _PERIOD = f"Underwriting\\s+Period\\s*[:\\-]?\\s*({_DAY}){_TO}({_DAY})", f"Period\\s*[:\\-]?\\s*({_DAY}){_TO}({_DAY})"
+BANNER_ALWAYS = (
+    ("Carrier", _CARRIER, 1), ("Carrier Name", _CARRIER, 1), ("State", _STATE, 1), ("Jurisdiction", _STATE, 1), ("State Code", _STATE, 1),
+    ("Underwriting Period Start", _UNDERWRITING, 1), ("Underwriting Period End", _UNDERWRITING, 2), ("Policy Period Start", _PERIOD, 1), ("Policy Period End", _PERIOD, 2),
+)
+BUSINESS_LINES = (
+    ("workers['\u2019\\s\\-]*compensation", "Workers Compensation"), ("workers[\\s\\-]*comp\\b", "Workers Compensation"), ("\\bW\\.?C\\.?\\b(?:\\s+loss|\\s+claim|\\s+run)?", "Workers Compensation"),
+    ("commercial\\s+general\\s+liability", "Commercial General Liability"), ("\\bC\\.?G\\.?L\\.?\\b", "Commercial General Liability"), ("commercial\\s+auto(?:mobile|motive)?", "Commercial Auto"),
+    ("commercial\\s+prop(?:erty)?", "Commercial Property"), ("professional\\s+liability", "Professional Liability"), ("\\bE\\.?\\s*&\\s*O\\.?\\b", "Professional Liability"), ("general\\s+liability|\\bG\\.?L\\.?\\b", "General Liability"),
+)
+
+
+def merged_fields(regions: DataFrame) -> DataFrame:
+    """(sheet, field, value, row_start, col_start) from merged title and header regions (sheet, type, row_start, col_start, value).
+
+    Labelled facts and lines of business by pattern, the first region of a field wins; a region that tells
+    nothing new gives its own ``KEY: value`` or, without a separator, its text under its place. Names of
+    companies without a label aren't classified.
+    """
+    v = F.trim("value")
+    part = lambda f, p, g, once: F.when(v.rlike(f"(?i){p}"), F.struct(F.lit(f).alias("field"), F.trim(F.regexp_extract("value", f"(?i){p}", g)).alias("value"), F.lit(once).alias("once")))
+    underwriting = v.rlike(f"(?i){_UNDERWRITING}")
+    line = F.coalesce(*(F.when(v.rlike(f"(?i){p}"), F.struct(F.lit("Line of Business").alias("field"), F.lit(name).alias("value"), F.lit(True).alias("once"))) for p, name in BUSINESS_LINES))
+    always = [F.when(~underwriting, part(f, p, g, False)) if p == _PERIOD else part(f, p, g, False) for f, p, g in BANNER_ALWAYS]
+    facts = F.filter(F.array(*(part(f, p, g, True) for f, p, g in BANNER_ONCE), *always, line), lambda x: x.isNotNull())
+    place = ["sheet", "row_start", "col_start"]
+    told = regions.filter(F.col("type").isin("TITLE", "HEADER") & (v != "")).select(*place, "type", v.alias("text"), facts.alias("facts"))
+    each = told.select(*place, F.explode("facts").alias("f")).select(*place, "f.*")
+    first = each.withColumn("r", F.row_number().over(Window.partitionBy("sheet", "field").orderBy("row_start", "col_start")))
+    understood = first.filter("NOT once OR r = 1").select(*place).distinct()
+    rest = told.join(understood, place, "left_anti")
+    pair = "^([^:\\-]{3,40})[:\\-]\\s*(.+)$"
+    spot = F.concat(F.lit("R"), F.col("row_start").cast("string"), F.lit("C"), F.col("col_start").cast("string"))
+    split = F.col("text").rlike(pair)
+    key = F.when(split, F.initcap(F.trim(F.regexp_extract("text", pair, 1)))).otherwise(F.concat(F.initcap("type"), F.lit(" ["), spot, F.lit("]")))
+    raw = rest.select(*place, key.alias("field"), F.when(split, F.trim(F.regexp_extract("text", pair, 2))).otherwise(F.col("text")).alias("value"), F.lit(True).alias("raw"))
+    both = first.filter("r = 1").select(*place, "field", "value", F.lit(False).alias("raw")).unionByName(raw)
+    again = both.withColumn("r", F.row_number().over(Window.partitionBy("sheet", "field").orderBy("raw", "row_start", "col_start")))
+    return again.select("sheet", F.when(F.col("r") > 1, F.concat("field", F.lit(" ["), spot, F.lit("]"))).otherwise(F.col("field")).alias("field"), "value", "row_start", "col_start")

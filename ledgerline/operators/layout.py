@@ -107,3 +107,58 @@ def taxonomy(text: Column, kinds: Sequence[tuple[str, Sequence[str]]], otherwise
     for kind, words in kinds:
         out = out.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(text), w)), kind)
     return out.otherwise(otherwise)
+
+
+#: Headings of sections and the field that each gives, none for general ones. Fixed values.
+SECTIONS = {"cause(s) of action": "Causes of Action", "causes of action": "Causes of Action", "case complaint summary": "Case Complaint Summary", "complaint summary": "Case Complaint Summary", "overview": None, "case details": None}
+NO_NAMES = ("field", "details", "key", "value", "source", "trellis")  # fixed values
+
+
+def table_fields(rows: DataFrame) -> DataFrame:
+    """(doc_id, tbl, row, col, field, value, confidence) from table rows (doc_id, tbl, row, cells).
+
+    In a table of rows in capitals over rows of values, each such pair of rows gives its columns (0.93); in
+    any other the first two cells of a row are label and value (0.95). The first of each label in a document
+    counts, later tables before earlier ones. A table is one group and at most as long as a page's table is.
+    """
+    full = rows.select("doc_id", "tbl", "row", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    own = Window.partitionBy("doc_id", "tbl")
+    order = own.orderBy("row")
+    marked = full.withColumn("upper", F.forall("cells", lambda c: c == F.upper(c)))
+    marked = marked.withColumns({"next_upper": F.lead("upper").over(order), "next": F.lead("cells").over(order), "next_row": F.lead("row").over(order)})
+    opens = F.col("upper") & ~F.coalesce("next_upper", F.lit(True))
+    told = marked.withColumns({"opens": opens, "n": F.count(F.lit(1)).over(own), "capitals": F.sum(F.col("upper").cast("int")).over(own), "pairs": F.sum(opens.cast("int")).over(own)})
+    paired = (F.col("n") >= 2) & (F.col("capitals") >= 0.4 * F.col("n")) & (F.col("pairs") >= 2)
+    cells = F.arrays_zip("cells", "next")
+    down = told.filter(paired & F.col("opens")).select("doc_id", "tbl", F.col("next_row").alias("row"), F.posexplode(cells).alias("col", "c"), F.lit(0.93).alias("confidence"))
+    down = down.select("doc_id", "tbl", "row", "col", F.col("c.cells").alias("field"), F.col("c.next").alias("value"), "confidence")
+    across = told.filter(~paired & (F.size("cells") >= 2)).select("doc_id", "tbl", "row", F.lit(1).alias("col"), F.get("cells", F.lit(0)).alias("field"), F.get("cells", F.lit(1)).alias("value"), F.lit(0.95).alias("confidence")).filter("field <> value")
+    return _first_named(down.unionByName(across), [F.desc("tbl"), F.col("row"), F.col("col")])
+
+
+def _first_named(fields: DataFrame, order: list) -> DataFrame:
+    named = fields.withColumn("field", F.trim(F.regexp_replace(F.trim("field"), "^:+|:+$", ""))).filter("field <> '' AND trim(value) <> ''").filter(~F.lower("field").isin(*NO_NAMES))
+    w = Window.partitionBy("doc_id", F.upper("field")).orderBy(*order)
+    return named.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+def section_fields(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, para, field, value, confidence) from paragraphs (doc_id, para, text).
+
+    The lines under a known heading up to the next one or a source line, joined (0.90), and ``label: value``
+    lines outside headings (0.85); the first of each label counts.
+    """
+    t = paragraphs.select("doc_id", "para", F.trim("text").alias("text"))
+    head = F.regexp_replace(F.lower("text"), ":+$", "")
+    known = head.isin(*SECTIONS)
+    stop = known | F.col("text").startswith("Source:")
+    w = Window.partitionBy("doc_id").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
+    marked = t.withColumn("head", F.when(known & (F.length("text") <= 300), head)).withColumn("start", F.last(F.when(stop, F.struct("para", "head")), ignorenulls=True).over(w))
+    names = F.create_map(*(F.lit(x) for k, v in SECTIONS.items() if v for x in (k, v)))
+    under = marked.filter("start.head IS NOT NULL AND start.para <> para AND text <> ''").withColumn("field", F.try_element_at(names, F.col("start.head"))).filter("field IS NOT NULL")
+    lines = F.array_sort(F.collect_list(F.struct("para", "text")))
+    sections = under.groupBy("doc_id", F.col("start.para").alias("para"), "field").agg(F.array_join(F.transform(lines, lambda x: x["text"]), " | ").alias("value")).withColumn("confidence", F.lit(0.90))
+    inline = "^([^\n]{1,59}?): (.+)$"
+    pairs = t.filter(~known & (F.length("text") <= 300) & ~F.col("text").startswith("http") & F.col("text").rlike(inline))
+    pairs = pairs.select("doc_id", "para", F.regexp_extract("text", inline, 1).alias("field"), F.regexp_extract("text", inline, 2).alias("value"), F.lit(0.85).alias("confidence"))
+    return _first_named(sections.unionByName(pairs), [F.col("para")])

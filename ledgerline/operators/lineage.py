@@ -27,11 +27,19 @@ def orchestration_ms(duration: Column, parser: Column, api: Column) -> Column:
     return F.greatest(F.lit(0.0), duration - parser - api)
 
 
-def cost_breakdown(entries: DataFrame) -> DataFrame:
-    """Calls and milliseconds by kind, overall (event null) and for each event; entries without a breakdown don't count."""
+def cost_breakdown(entries: DataFrame, filename: str | None = None, event: str | None = None) -> DataFrame:
+    """Calls and milliseconds by kind, overall (event null) and for each event; entries without a breakdown don't count.
+
+    Of one file or event if given. The overall row is there, of zeros, without any entry.
+    """
     known = entries.filter("duration_ms IS NOT NULL AND parser_ms IS NOT NULL")
+    for column, wanted in (("filename", filename), ("event", event)):
+        known = known if wanted is None else known.filter(F.col(column) == wanted)
     parts = ("parser_ms", "api_ms", "orchestration_ms")
-    sums = known.rollup("event").agg(F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").alias("total"), *(F.sum(F.coalesce(F.col(p), F.lit(0.0))).alias(p) for p in parts), F.grouping("event").alias("overall"))
+    own = [F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").alias("total"), *(F.sum(F.coalesce(F.col(p), F.lit(0.0))).alias(p) for p in parts)]
+    by_event = known.groupBy("event").agg(*own).withColumn("overall", F.lit(0))
+    whole = by_event.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.sum("total").alias("total"), *(F.sum(p).alias(p) for p in parts))
+    sums = by_event.unionByName(whole.withColumns({"event": F.lit(None).cast(entries.schema["event"].dataType), "overall": F.lit(1)}))
     whole = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
     share = lambda p: F.coalesce(F.round(F.col(p) / whole * 100, 1), F.lit(0.0)).alias(p.replace("_ms", "_pct"))
     return sums.select("event", (F.col("overall") == 1).alias("overall"), "calls", F.round(F.coalesce("total", F.lit(0.0)), 1).alias("total_ms"), *(F.round(F.coalesce(F.col(p), F.lit(0.0)), 1).alias(p) for p in parts), *(share(p) for p in parts))

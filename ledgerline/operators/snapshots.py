@@ -24,8 +24,13 @@ def map_changes(old: Column, new: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(differ), lambda e: F.struct(e["key"].alias("field"), e["value"]["before"].alias("before"), e["value"]["after"].alias("after"))))
 
 
-def check_reingest(new: DataFrame, store: DataFrame) -> DataFrame:
-    """Whether each claim was seen, and how many values changed or stayed; ``fields`` maps on both sides."""
+def check_reingest(new: DataFrame, store: DataFrame, ident: Column | None = None) -> DataFrame:
+    """Whether each claim was seen, and how many values changed or stayed; ``fields`` maps on both sides.
+
+    ``ident`` gives a new record's claim id, the column ``claim_id`` if left out; records without one are left out.
+    """
+    if ident is not None:
+        new = new.withColumn("claim_id", ident).filter("claim_id <> ''")
     old = store.select("claim_id", F.col("fields").alias("__old"), F.col("filename").alias("prev_filename"))
     joined = new.join(old, "claim_id", "left").withColumn("duplicate", F.coalesce(F.size("__old") > 0, F.lit(False)))
     changes = F.when(F.col("duplicate"), map_changes(F.col("__old"), F.col("fields")))

@@ -157,12 +157,11 @@ def f07_record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_records(f, "POL-12").select("sheet", "rec").distinct()
 
 
-@query(_F + "SELECT sheet, field FROM fields WHERE rec % 7 = 0 AND field LIKE '%Paid%' GROUP BY sheet, field HAVING bool_and(trim(CASE WHEN sheet = 's1' THEN '' ELSE value END) = '')")
+@query(_F + "SELECT sheet, field FROM fields GROUP BY sheet, field HAVING bool_and(trim(CASE WHEN sheet = 's1' THEN '' ELSE value END) = '')")
 def f08_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.operators.records import empty_columns
 
-    some = fields(spark, sf_dir).filter("rec % 7 = 0 AND field LIKE '%Paid%'")
-    return empty_columns(some.withColumn("value", F.when(F.col("sheet") == "s1", "").otherwise(F.col("value"))))
+    return empty_columns(fields(spark, sf_dir).withColumn("value", F.when(F.col("sheet") == "s1", "").otherwise(F.col("value"))))
 
 
 @query(_C + f"SELECT claim_id, coalesce(year(try_strptime(loss_date, {_ORDER})) BETWEEN 1900 AND 2100, false) AS valid FROM claims")

@@ -259,11 +259,11 @@ def f13_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.date_order_conflicts(mapped).select("rec", "loss_confidence", "reported_confidence")
 
 
-@query(f"WITH {CLAIMS_CTE}, p AS (SELECT rec, concat('s', CAST(rec % 4 AS STRING)) AS sheet, concat('CLM-', lpad(CAST(rec + rec % 3 AS STRING), 7, '0')) AS new_id FROM claims) SELECT DISTINCT p.sheet, p.rec, p.new_id FROM p JOIN claims c ON c.claim_id = p.new_id AND c.rec % 4 = p.rec % 4 AND c.rec <> p.rec UNION SELECT DISTINCT p.sheet, p.rec, p.new_id FROM p JOIN claims c ON false")
+@query(f"WITH {CLAIMS_CTE}, p AS (SELECT rec, concat('s', CAST(rec % 4 AS STRING)) AS sheet, concat('CLM-', lpad(CAST(rec + 4 * (rec % 3) AS STRING), 7, '0')) AS new_id FROM claims) SELECT DISTINCT p.sheet, p.rec, p.new_id FROM p JOIN claims c ON c.claim_id = p.new_id AND c.rec % 4 = p.rec % 4 AND c.rec <> p.rec")
 def f18_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = F.concat(F.lit("s"), (F.col("rec") % 4).cast("string"))
     c = claims(spark, sf_dir).select("rec", "claim_id", sheet.alias("sheet"))
-    proposed = c.select("sheet", "rec", F.concat(F.lit("CLM-"), F.lpad((F.col("rec") + F.col("rec") % 3).cast("string"), 7, "0")).alias("new_id"))
+    proposed = c.select("sheet", "rec", F.concat(F.lit("CLM-"), F.lpad((F.col("rec") + 4 * (F.col("rec") % 3)).cast("string"), 7, "0")).alias("new_id"))
     return records.duplicate_ids(proposed, c)
 
 
