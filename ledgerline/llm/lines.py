@@ -91,9 +91,13 @@ def _fine_keys(line: Column, length: Column, scheme: Scheme, segments: int) -> C
     return F.transform(F.array_distinct(table), key)
 
 
+def _times(line: Column, letter: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+
+
 def _letters(line: Column) -> list[Column]:
     """Two longs of eight counts each, up to 255."""
-    times = lambda c: F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+    times = lambda c: F.least(_times(line, c), F.lit(255)).cast("long")
     return [sum((F.shiftleft(times(c), 8 * i) for i, c in enumerate(LETTERS[at : at + 8])), F.lit(0).cast("long")) for at in (0, 8)]
 
 
@@ -118,8 +122,8 @@ def within_edits(pairs: DataFrame, edits: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     shifts = F.array(*(F.lit(s) for s in sorted(range(-edits, edits + 1), key=abs)))
     met = F.size(F.filter(every, lambda i: F.exists(shifts, lambda s: same(i, s))))
-    counted = pairs.select("*", *(c.alias(f"__{x}{i}") for x in ("left", "right") for i, c in enumerate(_letters(F.col(x)))))
-    counted = counted.filter((F.abs(delta) <= edits) & _alike([F.col("__left0"), F.col("__left1")], [F.col("__right0"), F.col("__right1")], edits)).select(*pairs.columns)
+    apart = sum((F.abs(_times(F.col("left"), c) - _times(F.col("right"), c)) for c in LETTERS), F.lit(0))
+    counted = pairs.filter((F.abs(delta) <= edits) & (apart <= 2 * edits))
     thin = counted.filter((n < parts * (edits + 1)) | (met >= parts - edits))
     thin = thin.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Generated columns: a filter above would otherwise take their expressions along into every use of them.
@@ -199,7 +203,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     near, crowded = _pairs(keyed, bucket_lines, work, "coarse")
     crowded = sized(work.write(crowded, "crowded"))
     one, two = _letters(F.col("line"))
-    again = texts.join(crowded, "h").select("h", one.alias("c0"), two.alias("c1"), F.explode(_fine_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
+    # counted before the keys are made, once a line
+    again = texts.join(crowded, "h").select("h", "line", "size", one.alias("c0"), two.alias("c1")).select("h", "c0", "c1", F.explode(_fine_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
     fine, _ = _pairs(again, None, work, "fine", max_edits)
     pairs = work.write(near.union(fine).distinct(), "pairs", release=True)
     work.delete("coarse", "fine", "crowded", "places")
