@@ -19,7 +19,6 @@ repeat an id with another text are documents of their own. All other columns sta
 
 from __future__ import annotations
 
-import json
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -77,20 +76,6 @@ def _keys(line: Column, length: Column, scheme: Scheme, segments: int) -> Column
     return F.array(*out)
 
 
-def _fine_keys(line: Column, length: Column, scheme: Scheme, segments: int) -> Column:
-    """As ``_keys``, for many keys: the scheme is data, so that the expression stays short."""
-    entries = [{"d": d, "n": n, "p": [{"a": a, "b": b, "s": s} for a, b, s in parts], "q": d > 0 or any(s for *_, s in parts)} for d, n, parts in scheme]
-    table = F.from_json(F.lit(json.dumps(entries)), "array<struct<d: int, n: int, p: array<struct<a: int, b: int, s: int>>, q: boolean>>")
-
-    def key(e: Column) -> Column:
-        own = length - e["d"]
-        at = lambda k: F.floor(own * k / segments).cast("int")
-        pieces = F.transform(e["p"], lambda p: F.substr(line, at(p["a"]) + 1 + p["s"], at(p["b"]) - at(p["a"])))
-        return F.struct(F.xxhash64(own, e["n"], pieces).alias("key"), e["q"].alias("probe"))
-
-    return F.transform(F.array_distinct(table), key)
-
-
 def _times(line: Column, letter: str) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
 
@@ -204,7 +189,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     crowded = sized(work.write(crowded, "crowded"))
     one, two = _letters(F.col("line"))
     # counted before the keys are made, once a line
-    again = texts.join(crowded, "h").select("h", "line", "size", one.alias("c0"), two.alias("c1")).select("h", "c0", "c1", F.explode(_fine_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
+    again = texts.join(crowded, "h").select("h", "line", "size", one.alias("c0"), two.alias("c1")).select("h", "c0", "c1", F.explode(_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
     fine, _ = _pairs(again, None, work, "fine", max_edits)
     pairs = work.write(near.union(fine).distinct(), "pairs", release=True)
     work.delete("coarse", "fine", "crowded", "places")
