@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.words import alnum_words, slices
-from ledgerline.llm.workspace import unused
+from ledgerline.llm.workspace import bounded_batches, unused
 
 WINDOW = 10
 BLOCK = 2
@@ -111,7 +111,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     own = n_words, found, matched = unused(docs, "n_words", "hits", "items")
     state = [T.StructField(n_words, T.LongType()), T.StructField(found, T.ArrayType(T.LongType())), T.StructField(matched, T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *state])
-    out = docs.select("*", F.lit(None).cast("long").alias(n_words), F.array().cast("array<long>").alias(found), F.array().cast("array<string>").alias(matched))
+    out = bounded_batches(docs).select("*", F.lit(None).cast("long").alias(n_words), F.array().cast("array<long>").alias(found), F.array().cast("array<string>").alias(matched))
     for rows in benchmark_blocks(benchmark, max_words):
         sent = spark.sparkContext.broadcast(rows)
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.shingles import ShingleHasher
 from ledgerline.llm.words import lower_blank_words, slices
-from ledgerline.llm.workspace import HOT_ROWS, Workspace, components, join_hot, sized, unused
+from ledgerline.llm.workspace import HOT_ROWS, Workspace, bounded_batches, components, join_hot, sized, unused
 
 SHINGLE_WORDS, MIN_PERCENT = 4, 85
 #: Longs of a unit's bit map.
@@ -180,7 +180,7 @@ def jaccard_rows(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = MIN
     ``component`` is null for a document without words. ``hot``: rows of one key that a join may bring to one task.
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs.select("doc_id", "text"))
     magnitudes = spark.sparkContext.broadcast(shingle_magnitudes(docs, words, work))
     full = work.write(_heads(docs, words, percent, magnitudes), "full")
     magnitudes.unpersist()

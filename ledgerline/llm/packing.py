@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.tokens import chunk_tokenizer, default_path
 from ledgerline.llm.words import slices
+from ledgerline.llm.workspace import bounded_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -148,7 +149,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, path: str | None = Non
                     yield from out(False)
         yield from out(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def packing_digest(pieces: DataFrame) -> DataFrame:

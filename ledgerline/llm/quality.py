@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.words import slices
+from ledgerline.llm.workspace import bounded_batches
 
 _SPACE, _SYMBOLS, _DIGITS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"0123456789"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -148,7 +149,7 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    sample = rows.mapInArrow(run, schema).orderBy("doc_id", "x").limit(2 * max_docs).collect()  # repeated ids may give more rows than labels
+    sample = bounded_batches(rows).mapInArrow(run, schema).orderBy("doc_id", "x").limit(2 * max_docs).collect()  # repeated ids may give more rows than labels
     k = len(FEATURES)
     return train_field([([r.x[i : i + k] for i in range(0, len(r.x), k)], r.quality) for r in sample])
 
@@ -180,7 +181,7 @@ def quality_report(docs: DataFrame, field: LineField, min_words: int = 20, max_r
             cols = [pa.array(c, {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64()}[t]) for c, (_, t) in zip(zip(*rows, strict=True), _REPORT, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", *(n for n, _ in _REPORT)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def keep_quality(docs: DataFrame, field: LineField, min_words: int = 20, max_repeat_percent: int = 30, min_content: float = 0.5) -> DataFrame:
@@ -190,4 +191,4 @@ def keep_quality(docs: DataFrame, field: LineField, min_words: int = 20, max_rep
         for b in slices(batches, "text"):
             yield b.filter(pa.array([judge(t.as_py(), field, min_words, max_repeat_percent, min_content)[6] for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

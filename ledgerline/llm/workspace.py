@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Rows of one key that a join may bring to one task.
 HOT_ROWS = 100_000
+#: Bytes of a batch on its way between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 class Workspace:
@@ -44,6 +46,17 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Python workers batches of at most ``BATCH_BYTES``, unless it has a bound of its own.
+
+    Spark's default bound of 64 MB is held several times over, by a task and by its worker.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of one's own, longer than ``names`` where ``df`` has those (in any case) already."""
     have, out = {c.lower() for c in df.columns}, []
