@@ -3,11 +3,10 @@
 Each line with a word is a step of the chain; Viterbi decoding marks it content or boilerplate, and
 the share of words in content lines decides retention. The field is trained in numpy from document
 labels (``quality`` 1: its lines count as content, 0: as boilerplate) on at most ``max_docs`` labelled
-documents with at most ``max_lines`` lines each, which a hash of the id picks; without usable labels
-the prior weights hold. Everything else covers every line of every row.
+documents with all their lines, which a hash of the id picks; without usable labels the prior weights hold. Everything else covers every line of every row.
 
 Null text has no words. Each input row gives one row, repeated rows included. Null labels are left
-out; of several labels of one id the smallest counts. An empty text fails the base rule.
+out; of several labels of one id the smallest counts, and so does the smallest of its texts. An empty text fails the base rule.
 """
 
 from __future__ import annotations
@@ -96,62 +95,70 @@ def repeated_window_words(words: list[bytes], window: int = 8) -> int:
     return int(inside.sum())
 
 
-def train_field(documents: list[tuple[list[list[float]], int]], rounds: int = 150, rate: float = 0.5, pull: float = 1e-3) -> LineField:
-    """Maximum likelihood by gradient ascent with momentum, drawn to the prior; all documents at once."""
+def train_field(documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.5, pull: float = 1e-3) -> LineField:
+    """Maximum likelihood by gradient ascent with momentum, drawn to the prior; all documents at once.
+
+    A document is its lines' features (a row a line) and its label. Lines lie by their place in the document and
+    longer documents come first, so that those which have a line at a place are the first ones there and
+    nothing is filled up to the longest.
+    """
     w, moves = _PRIOR.copy(), _PRIOR_MOVES.copy()
-    documents = [(x, y) for x, y in documents if x]
+    documents = sorted(((x, y) for x, y in documents if len(x)), key=lambda d: -len(d[0]))
     if len({y for _, y in documents}) < 2:
         return LineField(w, moves)
-    n, steps = len(documents), max(len(x) for x, _ in documents)
-    x, there, y = np.zeros((n, steps, len(FEATURES))), np.zeros((n, steps), bool), np.array([y for _, y in documents])
-    for i, (rows, _) in enumerate(documents):
-        x[i, : len(rows)], there[i, : len(rows)] = rows, True
+    sizes, y = np.array([len(x) for x, _ in documents]), np.array([y for _, y in documents])
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+    starts = np.cumsum(active) - active
+    doc = np.concatenate([np.arange(m) for m in active])
+    place = np.repeat(np.arange(sizes[0]), active)
+    x = np.concatenate([x for x, _ in documents])[(np.cumsum(sizes) - sizes)[doc] + place]
+    ends = starts[sizes - 1] + np.arange(len(sizes))
+    later = np.arange(active[0], len(doc))
+    earlier = starts[place[later] - 1] + doc[later]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # both classes weigh the same
-    share = share / there.sum(1)
+    share = (share / sizes)[doc]
     speed_w, speed_m = np.zeros_like(w), np.zeros_like(moves)
-    pairs = there[:, 1:].sum(1)
     for _ in range(rounds):
         s = x @ w
-        a = np.zeros((n, steps, 2))
-        b = np.zeros((n, steps, 2))
-        a[:, 0, 1] = s[:, 0]
-        for t in range(1, steps):
-            step = np.logaddexp(a[:, t - 1, 0, None] + moves[0], a[:, t - 1, 1, None] + moves[1])
-            step[:, 1] += s[:, t]
-            a[:, t] = np.where(there[:, t, None], step, a[:, t - 1])
-        for t in range(steps - 2, -1, -1):
-            ahead = b[:, t + 1] + np.stack([np.zeros(n), s[:, t + 1]], 1)
-            step = np.logaddexp(moves[:, 0] + ahead[:, 0, None], moves[:, 1] + ahead[:, 1, None])
-            b[:, t] = np.where(there[:, t + 1, None], step, 0.0)
-        z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-        content = np.where(there, np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]), 0.0)
-        grad_w = np.einsum("n,nt,ntf->f", share, np.where(there, y[:, None] - content, 0.0), x)
+        a, b = np.zeros((len(doc), 2)), np.zeros((len(doc), 2))
+        a[: active[0], 1] = s[: active[0]]
+        for at, before, m in zip(starts[1:], starts[:-1], active[1:], strict=True):
+            had = a[before : before + m]
+            step = np.logaddexp(had[:, :1] + moves[0], had[:, 1:] + moves[1])
+            step[:, 1] += s[at : at + m]
+            a[at : at + m] = step
+        for at, before, m in zip(starts[:0:-1], starts[-2::-1], active[:0:-1], strict=True):
+            ahead = b[at : at + m].copy()
+            ahead[:, 1] += s[at : at + m]
+            b[before : before + m] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
+        z = np.logaddexp(a[ends, 0], a[ends, 1])[doc]
+        grad_w = x.T @ (share * (y[doc] - np.exp(a[:, 1] + b[:, 1] - z)))
         grad_m = np.zeros((2, 2))
         for i in range(2):
             for j in range(2):
-                p = np.exp(a[:, :-1, i] + moves[i, j] + j * s[:, 1:] + b[:, 1:, j] - z[:, None])
-                grad_m[i, j] = (share * (pairs * ((y == i) & (y == j)) - np.where(there[:, 1:], p, 0.0).sum(1))).sum()
+                p = np.exp(a[earlier, i] + moves[i, j] + j * s[later] + b[later, j] - z[later])
+                grad_m[i, j] = (share[later] * (((y == i) & (y == j))[doc[later]] - p)).sum()
         speed_w = 0.9 * speed_w + rate * (grad_w + pull * (_PRIOR - w))
         speed_m = 0.9 * speed_m + rate * (grad_m + pull * (_PRIOR_MOVES - moves))
         w, moves = w + speed_w, moves + speed_m
     return LineField(w, moves)
 
 
-def fit_line_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_lines: int = 64) -> LineField:
-    """A field trained on a bounded, hash-picked sample of labelled documents."""
+def fit_line_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> LineField:
+    """A field trained on all lines of a bounded, hash-picked sample of labelled documents, one text an id."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            xs = [[v for row in line_features(t.as_py().encode().split(b"\n"))[0][:max_lines] for v in row] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            xs = [np.array(line_features(t.as_py().encode().split(b"\n"))[0]).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(xs, pa.binary())], ["doc_id", "quality", "x"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    sample = bounded_batches(rows).mapInArrow(run, schema).orderBy("doc_id", "x").limit(2 * max_docs).collect()  # repeated ids may give more rows than labels
-    k = len(FEATURES)
-    return train_field([([r.x[i : i + k] for i in range(0, len(r.x), k)], r.quality) for r in sample])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    sample = bounded_batches(rows).mapInArrow(run, schema).orderBy("doc_id").collect()  # a row for each picked id at most
+    return train_field([(np.frombuffer(r.x).reshape(-1, len(FEATURES)), r.quality) for r in sample])
 
 
 def judge(text: str | None, field: LineField, min_words: int, max_repeat_percent: int, min_content: float) -> tuple:
