@@ -78,10 +78,12 @@ class ChunkTokenizer:
             self.known = {k: self.known[k] for k in set().union(*(c for c in chunks if c)) - new}
         asked = list(new)
         got = dict(zip(asked, self._ask_chunks(asked), strict=True))
-        self.known.update((k, v) for k, v in got.items() if len(k) <= CACHE_CHARS)
-        look = {**self.known, **got} if any(len(k) > CACHE_CHARS for k in got) else self.known
+        self.known.update(got)
         whole = iter(self._ask([t for t, c in zip(texts, chunks, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(look.__getitem__, c)) for c in chunks]
+        out = [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        for long in (k for k in asked if len(k) > CACHE_CHARS):
+            del self.known[long]
+        return out
 
 
 _MADE: dict[str, ChunkTokenizer] = {}
