@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
+from ledgerline.operators.mapping import name_tokens, token_similarity
 
 # Fixed values.
 LEVELS = ("Highly Severe", "High", "Moderate", "Low")
@@ -187,21 +188,35 @@ CHECK_NAMES = ("check number", "check no", "check #", "check num", "cheque numbe
 ID_NAMES = ("claim id", "claim_id", "claimid", "claim number", "claim no", "claim #", "claim ref", "claim reference", "file number", "record id", "clm id", "clm no", "clm#", "loss ref", "file num", "file #", "filenum")
 
 
+#: Least share of words that a column's name has in common with a name that is sought.
+ID_LIKENESS, KEY_LIKENESS = 0.55, 0.6
+
+
+def _likeness(name: Column, words: Sequence[str]) -> Column:
+    """The best similarity of a name to one of several."""
+    return F.array_max(F.transform(F.array(*(F.lit(w) for w in words)), lambda w: token_similarity(name_tokens(name), name_tokens(w))))
+
+
 def claim_ids(fields: DataFrame) -> DataFrame:
-    """(sheet, rec, claim_id, stage): from a check number, else a column named like an id, else a value that looks like one, else the record's number."""
+    """(sheet, rec, claim_id, stage): 0 from a check number, else 1 from a column named like an id, else 2 from a value that looks like one, else 3 the record's number.
+
+    A column is named like an id if its name holds one of ``ID_NAMES``; after those, if it shares enough words with one.
+    """
     name, v = F.trim(F.replace(F.lower("field"), F.lit("_"), F.lit(" "))), F.trim("value")
     holds = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(name, w))
-    stage = F.when(holds(CHECK_NAMES), 0).when(holds(ID_NAMES), 1).when(v.rlike("(?i)^[A-Z]{2,5}[-_]?[A-Z0-9]{2,15}$") & v.rlike("[0-9]"), 2)
-    found = fields.withColumn("stage", stage).filter("stage IS NOT NULL AND trim(value) <> ''")
-    w = Window.partitionBy("sheet", "rec").orderBy("stage", "pos")
-    best = found.withColumn("r", F.row_number().over(w)).filter("r = 1").select("sheet", "rec", F.col("value").alias("claim_id"), "stage")
+    alike = (_likeness(name, ID_NAMES) >= ID_LIKENESS) & (F.length(v) >= 2)
+    place = F.when(holds(CHECK_NAMES), 0).when(holds(ID_NAMES), 1).when(alike, 2).when(v.rlike("(?i)^[A-Z]{2,5}[-_]?[A-Z0-9]{2,15}$") & v.rlike("[0-9]"), 3)
+    found = fields.withColumn("place", place).filter("place IS NOT NULL AND trim(value) <> ''")
+    w = Window.partitionBy("sheet", "rec").orderBy("place", "pos")
+    stage = F.when(F.col("place") < 2, F.col("place")).otherwise(F.col("place") - 1).alias("stage")
+    best = found.withColumn("r", F.row_number().over(w)).filter("r = 1").select("sheet", "rec", F.col("value").alias("claim_id"), stage)
     return fields.select("sheet", "rec").distinct().join(best, ["sheet", "rec"], "left").select("sheet", "rec", F.coalesce("claim_id", (F.col("rec") + 1).cast("string")).alias("claim_id"), F.coalesce("stage", F.lit(3)).alias("stage"))
 
 
 def lookup_value(fields: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first filled value of each record whose column holds or is held by one of the names, names before columns in order."""
+    """The first filled value of each record whose column holds or is held by one of the names, else shares enough words with one; names before columns in order."""
     low = F.lower("field")
-    at = F.coalesce(*(F.when(F.contains(low, F.lit(k.lower())) | F.contains(F.lit(k.lower()), low), i) for i, k in enumerate(keys)))
+    at = F.coalesce(*(F.when(F.contains(low, F.lit(k.lower())) | F.contains(F.lit(k.lower()), low), i) for i, k in enumerate(keys)), *(F.when(_likeness(low, [k]) >= KEY_LIKENESS, len(keys) + i) for i, k in enumerate(keys)))
     w = Window.partitionBy("sheet", "rec").orderBy("at", "pos")
     found = fields.withColumn("at", at).filter("at IS NOT NULL AND value <> ''")
     return found.withColumn("r", F.row_number().over(w)).filter("r = 1").select("sheet", "rec", "field", "value")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
-from ledgerline.operators import documents, grid, mapping, records, snapshots, stores
+from ledgerline.operators import documents, grid, mapping, records, signals, snapshots, stores
 
 
 def each(spark, values, f):
@@ -156,3 +156,15 @@ def test_keyword_signals_leave_out_negated_ones_and_cut_keywords_like_texts(spar
     snippets = {r.doc_id: r.snippet for r in got}
     assert len(snippets[7]) == 798 and snippets[7].endswith("…")
     assert snippets[8].startswith("unbroken" * 30 + " fracture")
+
+
+def test_ids_and_values_by_similar_names(spark):
+    rows = [
+        ("s", 1, 1, "Number of the Claim", "77-A"), ("s", 1, 2, "Other", "AB-1234"), ("s", 2, 1, "Number of the Claim", "7"), ("s", 2, 2, "Other", "AB-1234"),
+        ("s", 3, 1, "Number of the Claim", "88"), ("s", 3, 2, "Claim No", "99"), ("s", 4, 1, "Amount for Paid", "5"), ("s", 4, 2, "Status", "open"),
+    ]
+    fields = spark.createDataFrame(rows, "sheet string, rec int, pos int, field string, value string")
+    ids = {r.rec: (r.claim_id, r.stage) for r in signals.claim_ids(fields).collect()}
+    assert ids == {1: ("77-A", 1), 2: ("AB-1234", 2), 3: ("99", 1), 4: ("5", 3)}
+    found = {r.rec: r.value for r in signals.lookup_value(fields, ("paid amount", "claim number")).collect()}
+    assert found == {1: "77-A", 2: "7", 3: "88", 4: "5"}
