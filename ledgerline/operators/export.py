@@ -29,6 +29,14 @@ def split_documents(fields: DataFrame, financial: Sequence[str], currency: str =
     return m.select("sheet", "rec", F.to_json(F.struct("claim_id", others.alias("fields"), amounts.alias("financials"), F.lit(currency).alias("currency"))).alias("document"))
 
 
+def transaction_documents(fields: DataFrame, kind: str = "UPDATE") -> DataFrame:
+    """One JSON transaction a record, each filled field with whether it was edited; ``original`` is null for those that weren't."""
+    value = F.struct("value", F.col("original").isNotNull().alias("edited"), F.col("original").alias("originalValue"))
+    entries = F.array_sort(F.collect_list(F.struct("pos", "field", value.alias("v"))))
+    m = fields.filter("trim(value) <> ''").groupBy("sheet", "rec").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["field"], e["v"]))).alias("claim"))
+    return m.select("sheet", "rec", F.to_json(F.struct(F.lit(kind).alias("transactionType"), "claim")).alias("document"))
+
+
 def sheet_summary(fields: DataFrame, totals: DataFrame) -> DataFrame:
     """(sheet, record_count, totals as JSON): what heads a sheet's documents; records themselves aren't gathered."""
     t = totals.groupBy("sheet").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.col("total").cast("string")))))).alias("totals"))

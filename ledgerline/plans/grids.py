@@ -105,6 +105,20 @@ def a19_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.split_documents(fields(spark, sf_dir), ("Total Incurred", "Total Paid"))
 
 
+_EDITED = "(field = 'Status' AND rec % 5 = 0)"
+
+
+@query(
+    f"WITH {FIELDS_CTE}, e AS (SELECT sheet, rec, pos, field, CASE WHEN {_EDITED} THEN 'closed' ELSE value END AS value, CASE WHEN {_EDITED} THEN value END AS original FROM fields) SELECT sheet, rec, "
+    + """'{"transactionType":"UPDATE","claim":{' || string_agg('"' || field || '":{"value":"' || value || '","edited":' || CASE WHEN original IS NULL THEN 'false' ELSE 'true,"originalValue":"' || original || '"' END || '}', ',' ORDER BY pos) || '}}'"""
+    + " AS document FROM e WHERE trim(value) <> '' GROUP BY sheet, rec"
+)
+def a19_transaction_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = (F.col("field") == "Status") & (F.col("rec") % 5 == 0)
+    f = fields(spark, sf_dir).withColumns({"original": F.when(edited, F.col("value")), "value": F.when(edited, "closed").otherwise(F.col("value"))})
+    return export.transaction_documents(f)
+
+
 @query(f"WITH {FIELDS_CTE}, t AS (SELECT sheet, sum(CAST(value AS DECIMAL(18,2))) AS total FROM fields WHERE field = 'Total Paid' AND value <> '' GROUP BY sheet) SELECT f.sheet, count(DISTINCT rec) AS record_count, " + """'{"Total Paid":"' || max(total) || '"}'""" + " AS totals FROM fields f JOIN t USING (sheet) GROUP BY f.sheet")
 def a19_sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fields(spark, sf_dir)
