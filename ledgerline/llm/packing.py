@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.tokens import chunk_tokenizer, default_path
+from ledgerline.llm.tokens import chunk_tokenizer, default_path, vocabulary
 from ledgerline.llm.words import slices
 from ledgerline.llm.workspace import bounded_batches
 
@@ -39,9 +39,9 @@ PARTITION_SHIFT = 40
 @cache
 def _sentence_ends(path: str) -> np.ndarray:
     """Whether an id ends a sentence: it spells full stops, exclamation or question marks at a word's end."""
-    vocabulary = chunk_tokenizer(path).tokenizer.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    for piece, i in vocabulary.items():
+    pieces = vocabulary(path)
+    ends = np.zeros(max(pieces.values()) + 1, bool)
+    for piece, i in pieces.items():
         ends[i] = piece.endswith("</w>") and bool(body := piece[:-4]) and not body.strip(".!?")
     return ends
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -19,8 +21,8 @@ import regex
 import tiktoken
 
 _PLAIN = re.compile("[^\n\r\t\x20-\x7e¡-ɏ]")
-#: Chunks that one worker remembers; when full it keeps those of the texts at hand. Longer chunks are not remembered.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
+#: Chunks after which a worker begins a new table of those it remembers; it has the table before at hand and moves what is used again. Longer chunks are not remembered.
+CACHE_CHUNKS, CACHE_CHARS = 100_000, 40
 
 
 #: How the vocabulary's words are cut out of a chunk, as its file says.
@@ -54,31 +56,44 @@ def _merges(path: str) -> tuple[tiktoken.core.CoreBPE, np.ndarray]:
 
 class ChunkTokenizer:
     def __init__(self, path: str):
+        self.path = path
+        self.merges, self.ids = _merges(path)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """Of 40 MB; loaded at the first text that can't be cut into chunks."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.ids = _merges(path)
-        self.known: dict[str, bytes] = {}
+        return Tokenizer.from_file(self.path)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
         if any("<|" in c for c in chunks):  # may hold a special token
             return self._ask(chunks)
-        merge, ids, find = self.merges.encode_single_piece, self.ids, _PIECES.findall
-        return [ids[[r for piece in find(c.lower()) for r in merge(piece.encode() + _WORD_END)]].tobytes() for c in chunks]
+        merge, find = self.merges.encode_single_piece, _PIECES.findall
+        ranks: list[int] = []
+        ends = [0]
+        for c in map(str.lower, chunks):
+            for piece in (c,) if c.isalpha() else find(c):
+                ranks += merge(piece.encode() + _WORD_END)
+            ends.append(4 * len(ranks))
+        raw = self.ids[ranks].tobytes()
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
         chunks = [None if t and _PLAIN.search(t) else (t or "").split() for t in texts]
+        if len(self.known) > CACHE_CHUNKS:
+            self.known, self.before = {}, self.known
         new = set().union(*(c for c in chunks if c)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {k: self.known[k] for k in set().union(*(c for c in chunks if c)) - new}
-        asked = list(new)
-        got = dict(zip(asked, self._ask_chunks(asked), strict=True))
-        self.known.update(got)
+        self.known.update({k: self.before[k] for k in new if k in self.before})
+        asked = [k for k in new if k not in self.known]
+        self.known.update(zip(asked, self._ask_chunks(asked), strict=True))
         whole = iter(self._ask([t for t, c in zip(texts, chunks, strict=True) if c is None]))
         out = [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in chunks]
         for long in (k for k in asked if len(k) > CACHE_CHARS):
@@ -96,6 +111,12 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return _MADE[path]
 
 
+def vocabulary(path: str) -> dict[str, int]:
+    """All pieces of the file and their ids."""
+    file = json.loads(Path(path).read_text())
+    return file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -31,7 +31,10 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``max_bytes`` of ``column``, so that long texts don't pile up."""
+    """The same rows in batches of about ``max_bytes`` of ``column``, so that long texts don't pile up.
+
+    At the end Arrow gives back the memory it has kept, as the worker lives on.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,3 +46,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
