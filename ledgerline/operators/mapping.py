@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.standardize import value_quality
+
 STOPWORDS = ("of", "the", "a", "an", "and", "or", "to", "in", "for")  # fixed values
 MIN_MATCH = 0.65
+#: Score of a column that only an outside map names.
+OUTSIDE_SCORE = 0.75
 
 
 def name_tokens(name: Column) -> Column:
@@ -39,26 +43,52 @@ def header_scores(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     return by_token.union(exact).groupBy("header", "field").agg(F.max("score").alias("score"))
 
 
-def greedy_mapping(columns: DataFrame, scores: DataFrame, accepted: Sequence[str], least: float = MIN_MATCH) -> DataFrame:
-    """(colset, field, header, score): each field in order takes the best column that is left, the first on ties.
+def greedy_mapping(columns: DataFrame, scores: DataFrame, accepted: Sequence[str], least: float = MIN_MATCH, outside: DataFrame | None = None) -> DataFrame:
+    """(colset, field, header, score, source): each field in order takes the best column that is left, the first on ties.
 
-    ``columns`` (colset, header, pos) holds the distinct sets of columns; a group is one set, at most as
-    long as a sheet is wide.
+    A field without one takes the first column that ``outside`` (header, field), an outside map, has for it,
+    taken or not, at ``OUTSIDE_SCORE``. ``columns`` (colset, header, pos) holds the distinct sets of columns;
+    a group is one set, at most as long as a sheet is wide.
     """
     order = {f: i for i, f in enumerate(accepted)}
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         for field, own in sorted(pdf.groupby("field"), key=lambda kv: order[kv[0]]):
-            left = own[~own.header.isin(used) & (own.score >= least)].sort_values(["score", "pos"], ascending=[False, True])
+            by_header = own.source == "header"
+            left = own[by_header & ~own.header.isin(used) & (own.score >= least)]
+            left = (left if len(left) else own[~by_header]).sort_values(["score", "pos"], ascending=[False, True])
             if len(left):
                 best = left.iloc[0]
                 used.add(best.header)
-                out.append((best.colset, field, best.header, float(best.score)))
-        return pd.DataFrame(out, columns=["colset", "field", "header", "score"])
+                out.append((best.colset, field, best.header, float(best.score), best.source))
+        return pd.DataFrame(out, columns=["colset", "field", "header", "score", "source"])
+
+    known = scores.select("header", "field", "score", F.lit("header").alias("source"))
+    if outside is not None:
+        known = known.union(outside.select("header", "field", F.lit(OUTSIDE_SCORE), F.lit("outside")).distinct())
+    pairs = columns.join(known.filter(F.col("field").isin(*accepted)), "header").select("colset", "header", "pos", "field", "score", "source")
+    return pairs.groupBy("colset").applyInPandas(take, "colset string, field string, header string, score double, source string")
+
 
-    pairs = columns.join(scores.filter(F.col("field").isin(*accepted)), "header").select("colset", "header", "pos", "field", "score")
-    return pairs.groupBy("colset").applyInPandas(take, "colset string, field string, header string, score double")
+def mapped_records(values: DataFrame, mapped: DataFrame, titles: DataFrame, accepted: Sequence[str]) -> DataFrame:
+    """Records under their target fields: sheet, rec, field, header, value, header_score, value_score, confidence, source.
+
+    ``values`` (sheet, rec, header, value) are the cells, ``mapped`` the columns of each sheet as
+    ``greedy_mapping`` gives them. A field without a column takes the sheet's title value (``titles``: sheet,
+    field, value, row_no; one row a field), at a confidence of 95 at most.
+    """
+    columns = mapped.withColumnRenamed("colset", "sheet")
+    cells = values.join(columns, ["sheet", "header"]).select("sheet", "rec", "field", "header", "value", "score", "source")
+    free = titles.filter(F.col("field").isin(*accepted)).join(columns, ["sheet", "field"], "left_anti")
+    place = F.concat(F.lit("[title row "), F.col("row_no").cast("string"), F.lit("]"))
+    banner = values.select("sheet", "rec").distinct().join(free, "sheet").select("sheet", "rec", "field", place.alias("header"), "value", F.lit(1.0).alias("score"), F.lit("title").alias("source"))
+    quality, most = value_quality(F.col("value"), F.col("field")), F.when(F.col("source") == "title", 95).otherwise(100)
+    each = cells.unionByName(banner).withColumn("quality", quality)
+    return each.select(
+        "sheet", "rec", "field", "header", "value", F.bround(F.col("score") * 100).cast("int").alias("header_score"), F.bround(F.col("quality") * 100).cast("int").alias("value_score"),
+        F.least(most, mapping_confidence(F.col("score"), F.col("quality"))).alias("confidence"), "source",
+    )
 
 
 def mapping_confidence(header_score: Column, quality: Column) -> Column:

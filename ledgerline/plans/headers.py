@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
 from ledgerline.operators import mapping as M
 from ledgerline.plans.registry import query
+from ledgerline.plans.standardise import _QUALITY
 from ledgerline.sources.fixtures import FIELDS_CTE, claims, fields, table
 
 #: Target fields with a few aliases each; a deployment brings its own dictionary of them.
@@ -23,14 +24,18 @@ def _aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALIASES, "field string, alias string")
 
 
+def _header() -> Column:
+    """The claims' columns under other names, by sheet."""
+    return F.when(F.col("sheet") == "s1", F.upper(F.replace("field", F.lit(" "), F.lit("_")))).when(F.col("sheet") == "s2", F.concat("field", F.lit(" Amt"))).otherwise(F.col("field"))
+
+
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sheet, header, pos): the claims' columns under other names, by sheet."""
-    f = fields(spark, sf_dir).select("sheet", "field", "pos").distinct()
-    header = F.when(F.col("sheet") == "s1", F.upper(F.replace("field", F.lit(" "), F.lit("_")))).when(F.col("sheet") == "s2", F.concat("field", F.lit(" Amt"))).otherwise(F.col("field"))
-    return f.select("sheet", header.alias("header"), "pos")
+    """(sheet, header, pos)"""
+    return fields(spark, sf_dir).select("sheet", "field", "pos").distinct().select("sheet", _header().alias("header"), "pos")
 
 
-_COLUMNS = f"{FIELDS_CTE}, columns AS (SELECT DISTINCT sheet, CASE sheet WHEN 's1' THEN upper(replace(field, ' ', '_')) WHEN 's2' THEN field || ' Amt' ELSE field END AS header, pos FROM fields)"
+_HEADER = "CASE sheet WHEN 's1' THEN upper(replace(field, ' ', '_')) WHEN 's2' THEN field || ' Amt' ELSE field END"
+_COLUMNS = f"{FIELDS_CTE}, columns AS (SELECT DISTINCT sheet, {_HEADER} AS header, pos FROM fields)"
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower({0}), '[_/#+]', ' ', 'g')), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ('of', 'the', 'a', 'an', 'and', 'or', 'to', 'in', 'for')))"
 _ALIASES = "aliases AS (SELECT * FROM (VALUES " + ", ".join(str(a) for a in ALIASES) + ") AS t(field, alias))"
 _SCORED = (
@@ -44,15 +49,44 @@ def j03_header_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.header_scores(_columns(spark, sf_dir).select("header").distinct(), _aliases(spark))
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf_dir: str, outside: DataFrame | None = None) -> DataFrame:
     columns = _columns(spark, sf_dir)
     scores = M.header_scores(columns.select("header").distinct(), _aliases(spark))
-    return M.greedy_mapping(columns.withColumnRenamed("sheet", "colset"), scores, ACCEPTED)
+    return M.greedy_mapping(columns.withColumnRenamed("sheet", "colset"), scores, ACCEPTED, outside=outside)
+
+
+#: What a model named, say: a column that no header rule reaches, and one that is taken already.
+OUTSIDE = (("State Amt", "State"), ("Total Paid", "Policy Number"))
+_GREEDY = (
+    _SCORED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", acc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(ACCEPTED, 1)) + ") AS t(i, field)), outside AS (SELECT * FROM (VALUES " + ", ".join(str(o) for o in OUTSIDE) + ") AS t(header, field)),"
+    " cand AS (SELECT c.sheet, a.i, c.header, c.pos, 1 AS own, s.score FROM columns c JOIN s ON s.header = c.header JOIN acc a ON a.field = s.field WHERE s.score >= 0.65 UNION ALL SELECT c.sheet, a.i, c.header, c.pos, 0, 0.75::DOUBLE FROM columns c JOIN outside o ON o.header = c.header JOIN acc a ON a.field = o.field),"
+    " g AS (SELECT sheet, 0 AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS header, NULL::DOUBLE AS score, NULL::INT AS own FROM (SELECT DISTINCT sheet FROM columns) UNION ALL"
+    " SELECT sheet, i + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.header) END, b.header, b.score, b.own FROM (SELECT g.sheet, g.i, g.used, max({'own': c.own, 'score': c.score, 'at': -c.pos, 'header': c.header}) FILTER (WHERE c.header IS NOT NULL) AS b"
+    f" FROM g LEFT JOIN cand c ON c.sheet = g.sheet AND c.i = g.i + 1 AND (c.own = 0 OR NOT list_contains(g.used, c.header)) WHERE g.i < {len(ACCEPTED)} GROUP BY g.sheet, g.i, g.used)),"
+    " m AS (SELECT g.sheet, a.field, g.header, g.score, CASE g.own WHEN 1 THEN 'header' ELSE 'outside' END AS source FROM g JOIN acc a ON a.i = g.i WHERE g.header IS NOT NULL)"
+)
 
 
-@query()
+@query(_GREEDY + " SELECT sheet AS colset, field, header, score, source FROM m")
 def j04_schema_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir)
+    return _mapped(spark, sf_dir, spark.createDataFrame(OUTSIDE, "header string, field string"))
+
+
+@query(
+    _GREEDY + f", v AS (SELECT sheet, rec, {_HEADER} AS header, value FROM fields), t AS (SELECT sheet, min(value) AS value FROM fields WHERE field = 'Policy Number' GROUP BY sheet),"
+    " r AS (SELECT v.sheet, v.rec, m.field, v.header, v.value, m.score, m.source FROM v JOIN m ON m.sheet = v.sheet AND m.header = v.header"
+    " UNION ALL SELECT v.sheet, v.rec, f.field, '[title row 1]', t.value, 1.0, 'title' FROM (SELECT DISTINCT sheet, rec FROM v) v JOIN t ON t.sheet = v.sheet, (VALUES ('Status'), ('State')) AS f(field) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.sheet = v.sheet AND m.field = f.field)),"
+    f" q AS (SELECT *, CAST({_QUALITY} AS DOUBLE) AS quality FROM r)"
+    " SELECT sheet, rec, field, header, value, CAST(round_even(score * 100, 0) AS INT) AS header_score, CAST(round_even(quality * 100, 0) AS INT) AS value_score, CAST(least(CASE source WHEN 'title' THEN 95 ELSE 100 END, round_even(score * 40 + quality * 60, 0)) AS INT) AS confidence, source FROM q"
+)
+def j04_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells under their target fields; what no column gives comes from the sheet's title."""
+    f = fields(spark, sf_dir)
+    named = F.explode(F.array(F.lit("Status"), F.lit("State"), F.lit("Nothing"))).alias("field")
+    titles = f.filter("field = 'Policy Number'").groupBy("sheet").agg(F.min("value").alias("value")).select("sheet", "value", F.lit(1).alias("row_no"), named)
+    mapped = _mapped(spark, sf_dir, spark.createDataFrame(OUTSIDE, "header string, field string"))
+    return M.mapped_records(f.select("sheet", "rec", _header().alias("header"), "value"), mapped, titles, ACCEPTED)
 
 
 @query()

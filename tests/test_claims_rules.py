@@ -168,3 +168,20 @@ def test_ids_and_values_by_similar_names(spark):
     assert ids == {1: ("77-A", 1), 2: ("AB-1234", 2), 3: ("99", 1), 4: ("5", 3)}
     found = {r.rec: r.value for r in signals.lookup_value(fields, ("paid amount", "claim number")).collect()}
     assert found == {1: "77-A", 2: "7", 3: "88", 4: "5"}
+
+
+def test_greedy_mapping_asks_the_outside_map_last(spark):
+    columns = spark.createDataFrame([("c", "Paid", 1), ("c", "Other", 2), ("c", "More", 3)], "colset string, header string, pos int")
+    scores = spark.createDataFrame([("Paid", "Total Paid", 0.9), ("Other", "Net Paid", 0.5)], "header string, field string, score double")
+    outside = spark.createDataFrame([("More", "Net Paid"), ("Other", "Net Paid"), ("Other", "Total Paid"), ("Gone", "Tax")], "header string, field string")
+    got = {(r.field, r.header, r.score, r.source) for r in mapping.greedy_mapping(columns, scores, ("Total Paid", "Net Paid", "Tax"), outside=outside).collect()}
+    assert got == {("Total Paid", "Paid", 0.9, "header"), ("Net Paid", "Other", 0.75, "outside")}
+
+
+def test_mapped_records_fill_from_the_title(spark):
+    values = spark.createDataFrame([("c", 1, "Paid", "$5"), ("c", 2, "Paid", "five"), ("c", 2, "Free", "x")], "sheet string, rec int, header string, value string")
+    mapped = spark.createDataFrame([("c", "Total Paid", "Paid", 1.0, "header")], "colset string, field string, header string, score double, source string")
+    titles = spark.createDataFrame([("c", "Total Paid", "$9", 1), ("c", "Tax Paid", "$7", 2), ("c", "Unknown", "u", 3), ("d", "Tax Paid", "$1", 1)], "sheet string, field string, value string, row_no int")
+    got = {(r.rec, r.field, r.header, r.value, r.header_score, r.value_score, r.confidence, r.source) for r in mapping.mapped_records(values, mapped, titles, ("Total Paid", "Tax Paid")).collect()}
+    title = ("Tax Paid", "[title row 2]", "$7", 100, 100, 95, "title")
+    assert got == {(1, "Total Paid", "Paid", "$5", 100, 100, 100, "header"), (2, "Total Paid", "Paid", "five", 100, 30, 58, "header"), (1, *title), (2, *title)}
