@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, jaccard, licenses, lines, lm, packing, pii, quality, secrets, sharding
+from ledgerline.llm import conversations, decontaminate, jaccard, lexical, licenses, lines, lm, packing, pii, quality, search_sql, secrets, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +59,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantise(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_pseudonyms, op2_secret_scan, op3_quality_rules, op4_line_dedup, op5_lm_scores, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding)
+    f.__name__: f for f in (op1_pii_pseudonyms, op2_secret_scan, op3_quality_rules, op4_line_dedup, op5_lm_scores, op6_jaccard_join, op7_packing, op8_decontamination, op9_license_scan, op10_sharding, op11_exact_top_k, op12_lexical_search, op13_conversation_repair)
 }
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_FOLD}, '[0-9a-z\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+')"
@@ -91,4 +104,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l A
  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(x.labels, [])))), ',') AS labels, CAST(CASE WHEN n > 0 THEN 1.0 ELSE coalesce(score, 0.0) END AS DOUBLE) AS score
 FROM d LEFT JOIN base b USING (r) LEFT JOIN found x USING (r)
 """
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": _OP8, "op9_license_scan": _OP9}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": _OP8, "op9_license_scan": _OP9, "op11_exact_top_k": search_sql.TOP_K, "op12_lexical_search": search_sql.LEXICAL, "op13_conversation_repair": search_sql.REPAIR}
