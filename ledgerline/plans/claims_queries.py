@@ -1,6 +1,6 @@
 """All registered queries of the claims operators."""
 
-from ledgerline.plans import banners, blocks, entities, grids, headers, layouts, reviews, standardise, tables, texts  # noqa: F401
+from ledgerline.plans import banners, blocks, entities, grids, headers, layouts, reconciled, reviews, standardise, tables, texts  # noqa: F401
 from ledgerline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
