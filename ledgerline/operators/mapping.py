@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.standardize import value_quality
+from ledgerline.operators.keyed_store import KeyedTable
+from ledgerline.operators.snapshots import REMEMBERED_FIRST, lookup_mappings, remembered_rows
 
 STOPWORDS = ("of", "the", "a", "an", "and", "or", "to", "in", "for")  # fixed values
 MIN_MATCH = 0.65
@@ -100,17 +105,37 @@ def unit_vectors(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
 
 
-def embedding_match(headers: DataFrame, candidates: DataFrame, least: float = 0.75) -> DataFrame:
-    """The candidate (candidate, ord, vector) with the largest cosine for each header (header, vector), the first on ties; none below ``least``.
+def embedding_match(headers: DataFrame, candidates: DataFrame, least: float = 0.75, block: int = 50_000) -> DataFrame:
+    """The candidate (candidate, ord, vector) with the largest cosine for each header (header, vector), the smallest ``ord`` on ties; none below ``least``.
 
-    Candidates are the target fields, a dictionary that is broadcast; each header is scored in its own row.
+    Candidates are sent in blocks of about ``block`` vectors, however many there are; headers meet a block as a matrix product,
+    batch by batch, and the blocks' best are compared by header. Scores are rounded to 12 digits before they are compared.
+    Without candidates every header has nulls.
     """
-    small = [(r.candidate, r.u) for r in candidates.orderBy("ord").select("candidate", unit_vectors(F.col("vector")).alias("u")).collect()]
-    listed = F.array(*(F.struct(F.lit(c).alias("candidate"), F.lit(-i).alias("o"), F.array(*(F.lit(float(x)) for x in u)).alias("u")) for i, (c, u) in enumerate(small)))
-    best = F.array_max(F.transform("__c", lambda c: F.struct(F.aggregate(F.zip_with(c["u"], F.col("u"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"), c["o"].alias("o"), c["candidate"].alias("candidate"))))
-    table = candidates.sparkSession.range(1).select(listed.alias("__c"))
-    scored = headers.select("header", unit_vectors(F.col("vector")).alias("u")).crossJoin(F.broadcast(table)).select("header", best.alias("b"))
-    return scored.select("header", F.when(F.col("b.score") >= least, F.col("b.candidate")).alias("candidate"), F.round("b.score", 3).alias("score"))
+    c = candidates.select(F.col("candidate").cast("string").alias("candidate"), F.col("ord").cast("long").alias("ord"), unit_vectors(F.col("vector")).alias("u"))
+    h = headers.select("header", unit_vectors(F.col("vector")).alias("u"))
+    blocks, context = -(-c.count() // block), headers.sparkSession.sparkContext
+    schema = T.StructType([headers.schema["header"], *T.StructType.fromDDL("score double, ord long, candidate string").fields])
+
+    def nearest(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+        names, orders, matrix = sent.value
+        for b in batches:
+            if len(b):
+                scores = np.round(np.stack(b.column("u").to_numpy(zero_copy_only=False)) @ matrix.T, 12)
+                best = scores.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("header"), pa.array(scores.max(axis=1)), pa.array(orders[best]), pa.array([names[i] for i in best], pa.string())], names=["header", "score", "ord", "candidate"])
+
+    found = h.select("header", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("candidate")) if not blocks else None
+    for k in range(blocks):
+        rows = list(c.filter(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == k).orderBy("ord").toLocalIterator())
+        if rows:
+            sent = context.broadcast(([r.candidate for r in rows], np.array([r.ord for r in rows]), np.array([r.u for r in rows], dtype=np.float64)))
+            one = h.mapInArrow(lambda batches, sent=sent: nearest(batches, sent), schema)
+            found = one if found is None else found.unionByName(one)
+    if blocks > 1:
+        best = F.max_by(F.struct("score", "candidate"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b")
+        found = found.groupBy("header").agg(best).select("header", "b.*")
+    return found.select("header", F.when(F.col("score") >= least, F.col("candidate")).alias("candidate"), F.round("score", 3).alias("score"))
 
 
 def cascade(columns: DataFrame, stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -123,6 +148,31 @@ def cascade(columns: DataFrame, stages: Sequence[tuple[str, DataFrame]]) -> Data
     return out
 
 
+#: Confidence of a column that only an outside map names.
+OUTSIDE_CONFIDENCE = 75.0
+MEMORY = "mapping_key string, schema_name string, source_column_raw string, source_column_normalized string, resolved_field string, method string, confidence double, hit_count int, user_corrected boolean"
+
+
+def resolve_columns(memory: KeyedTable, columns: DataFrame, schema: str, candidates: DataFrame, outside: DataFrame, run: str, least: float = 0.75) -> DataFrame:
+    """(header, field, confidence, method) of the columns (header, vector) that the memory, embeddings or an outside map (header, field) knows, asked in this order.
+
+    What the later two answer is written back to the memory, in one commit that carries ``run``: the same run again gives the same
+    answers, from the memory as it was before, and counts no hit twice. Distinct headers; a user's corrections stay.
+    """
+    done = memory.committed(run)
+    before = memory.read(None if done is None else done - 1)
+    known = lookup_mappings(columns.select(F.col("header").alias("source_column")), before, schema).filter("resolved_field IS NOT NULL")
+    known = known.select(F.col("source_column").alias("header"), F.col("resolved_field").alias("field"), "confidence")
+    near = embedding_match(columns.join(known.select("header"), "header", "left_anti"), candidates, least)
+    near = near.select("header", F.col("candidate").alias("field"), F.round(F.col("score") * 100, 1).alias("confidence"))
+    told = outside.groupBy("header").agg(F.min("field").alias("field")).withColumn("confidence", F.lit(OUTSIDE_CONFIDENCE))
+    resolved = cascade(columns, [("memory", known), ("semantic", near), ("external", told)])
+    if done is None:
+        entries = resolved.filter("method <> 'memory'").select(F.col("header").alias("source_column"), F.col("field").alias("resolved_field"), "method", "confidence")
+        memory.upsert(remembered_rows(before, entries, schema), [f(c) for f, c in REMEMBERED_FIRST], run)
+    return resolved
+
+
 def standard_names(columns: DataFrame, phrases: DataFrame, longest: int = 4, least: int = 8) -> DataFrame:
     """(header, standard): the best phrase among a header's runs of words, 10 a word less its place; ``phrases`` (phrase, standard) is a dictionary."""
     spaced = F.regexp_replace(F.regexp_replace("header", "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -154,8 +204,6 @@ def call_model(rows: DataFrame, key: str, function, schema: str, tries: int = 2,
 
     ``schema`` has the columns of the result after ``key``; the function must give one row for each of its input.
     """
-    from pyspark.sql import types as T
-
     fields = T._parse_datatype_string(schema).fields if hasattr(T, "_parse_datatype_string") else None
     names = [f.name for f in fields] if fields else [p.split()[0] for p in schema.split(",")]
 

@@ -57,9 +57,17 @@ def lookup_mappings(columns: DataFrame, memory: DataFrame, schema: str) -> DataF
     return mapping_keys(columns, schema).join(known, "mapping_key", "left")
 
 
-def remember_mappings(memory: DataFrame, entries: DataFrame, schema: str) -> DataFrame:
-    """The memory with the entries (source_column, resolved_field, method, confidence) added, one hit more each; what a user corrected stays."""
+def remembered_rows(memory: DataFrame, entries: DataFrame, schema: str) -> DataFrame:
+    """The memory's rows for entries (source_column, resolved_field, method, confidence), one hit more each; none for what a user corrected."""
     prior = memory.select("mapping_key", F.col("hit_count").alias("__hits"), F.col("user_corrected").alias("__user"))
     new = mapping_keys(entries, schema).join(prior, "mapping_key", "left").filter("NOT coalesce(__user, false)")
-    rows = new.select("mapping_key", F.lit(schema).alias("schema_name"), F.col("source_column").alias("source_column_raw"), normal_header(F.col("source_column")).alias("source_column_normalized"), "resolved_field", "method", "confidence", (F.coalesce("__hits", F.lit(0)) + 1).alias("hit_count"), F.lit(False).alias("user_corrected"))
-    return upsert(memory, rows, ["mapping_key"], [F.desc("confidence"), F.col("resolved_field")])
+    return new.select("mapping_key", F.lit(schema).alias("schema_name"), F.col("source_column").alias("source_column_raw"), normal_header(F.col("source_column")).alias("source_column_normalized"), "resolved_field", "method", "confidence", (F.coalesce("__hits", F.lit(0)) + 1).alias("hit_count"), F.lit(False).alias("user_corrected"))
+
+
+#: Of two entries for a column the surer one is remembered.
+REMEMBERED_FIRST = (F.desc, "confidence"), (F.col, "resolved_field")
+
+
+def remember_mappings(memory: DataFrame, entries: DataFrame, schema: str) -> DataFrame:
+    """The memory with the entries (source_column, resolved_field, method, confidence) added, one hit more each; what a user corrected stays."""
+    return upsert(memory, remembered_rows(memory, entries, schema), ["mapping_key"], [f(c) for f, c in REMEMBERED_FIRST])

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.standardize import fold_punctuation
+
+if TYPE_CHECKING:
+    from ledgerline.operators.keyed_store import KeyedTable
+
 
 def filtered(table: DataFrame, condition: Column | str, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Rows that meet a condition; a limit needs an order."""
@@ -88,3 +94,30 @@ def sheet_duplicates(sheets: DataFrame) -> DataFrame:
     ranked = w.withColumn("r", F.row_number().over(Window.partitionBy("sheet_hash").orderBy(F.desc("seen"), "file"))).filter("r <= 2")
     best = ranked.groupBy("sheet_hash").agg(F.max(F.when(F.col("r") == 1, F.col("file"))).alias("one"), F.max(F.when(F.col("r") == 2, F.col("file"))).alias("two")).filter("two IS NOT NULL")
     return sheets.join(best, "sheet_hash").select("file", "sheet", "sheet_hash", F.when(F.col("one") == F.col("file"), F.col("two")).otherwise(F.col("one")).alias("other"))
+
+
+def save_parsed(table: KeyedTable, sheets: DataFrame, token: str | None = None) -> int:
+    """Parsed sheets (sheet_hash, sheet_name, saved_at, data) under the hash of their content, punctuation folded; the last save of a hash counts."""
+    return table.upsert(sheets.withColumn("data", fold_punctuation(F.col("data"))), [F.desc("saved_at"), F.col("sheet_name"), F.col("data")], token)
+
+
+def load_parsed(table: KeyedTable, hashes: DataFrame) -> DataFrame:
+    """``hashes`` (sheet_hash, ...) with what was saved under each, and whether anything was."""
+    saved = table.read().select("sheet_hash", "sheet_name", "saved_at", "data", F.lit(True).alias("__hit"))
+    return hashes.join(saved, "sheet_hash", "left").withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+EXPORTS = "dup_key string, filename string, sheet string, export_type string, export_time string, record_count long, record_json string"
+
+
+def append_exports(table: KeyedTable, entries: DataFrame, token: str | None = None) -> int:
+    """Exports (filename, sheet, export_type, export_time, record_count, record_json), one row for each file, sheet and type: the newest."""
+    name = lambda c: F.coalesce(c, F.lit(""))
+    keyed = entries.withColumn("dup_key", F.concat_ws("|", name("filename"), name("sheet"), name("export_type"))).withColumn("record_count", F.coalesce(F.col("record_count").cast("long"), F.lit(0)))
+    return table.upsert(keyed, [F.desc("export_time"), F.col("record_json")], token)
+
+
+def read_exports(table: KeyedTable) -> DataFrame:
+    """The history as the records tell it; what a record lacks, or a broken one, comes from the columns."""
+    told = lambda key, column: F.coalesce(F.get_json_object("record_json", f"$.{key}"), F.col(column).cast("string"))
+    return table.read().select("dup_key", told("filename", "filename").alias("filename"), told("sheet", "sheet").alias("sheet"), told("type", "export_type").alias("type"), told("record_count", "record_count").alias("record_count"), told("timestamp", "export_time").alias("timestamp"), F.get_json_object("record_json", "$.cost_metadata.total_cost_usd").alias("cost"))

@@ -7,26 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.operators.stores import latest, upsert
+from ledgerline.operators.keyed_store import KeyedTable
 
 
-def version_path(root: str, batch: int) -> str:
-    return f"{root}/v{batch:09d}"
+def upsert_stream(source: DataFrame, table: KeyedTable, order: Sequence[Column], checkpoint: str, keep: int = 2, **trigger) -> StreamingQuery:
+    """Each micro-batch is a commit of ``table`` that rewrites the buckets it touches; the last ``keep`` commits stay readable.
 
-
-def upsert_stream(source: DataFrame, root: str, key: Sequence[str], order: Sequence[Column], checkpoint: str, **trigger) -> StreamingQuery:
-    """Each micro-batch gives a new version of the table under ``root``, numbered like the batch.
-
-    A batch that runs again after a failure reads the version before it and overwrites its own, so that
-    the result is the same.
+    The batch's number is the commit's token, so that a batch that runs again after a failure counts once.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            old = batch.sparkSession.read.parquet(version_path(root, number - 1))
-            new = upsert(old, batch, key, order)
-        else:
-            new = latest(batch, key, order)
-        new.write.mode("overwrite").parquet(version_path(root, number))
+        table.upsert(batch, order, token=f"batch {number}")
+        table.expire(keep)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,14 +1,51 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
+from ledgerline.operators.keyed_store import KeyedTable
+from ledgerline.streaming.ingest import upsert_stream
+
+SCHEMA = "k int, v string"
+
+
+def table(spark, path, buckets=8):
+    return KeyedTable(spark, str(path), _parse_datatype_string(SCHEMA), ["k"], buckets)
 
-from ledgerline.streaming.ingest import upsert_stream, version_path
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
 
 
 def test_upsert_stream(spark, tmp_path):
-    schema, inbox = "k int, v string", str(tmp_path / "inbox")
-    start = lambda: upsert_stream(spark.readStream.schema(schema).parquet(inbox), str(tmp_path / "t"), ["k"], [F.desc("v")], str(tmp_path / "c"))
-    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], schema).write.mode("append").parquet(inbox)
+    inbox, t = str(tmp_path / "inbox"), table(spark, tmp_path / "t")
+    start = lambda: upsert_stream(spark.readStream.schema(SCHEMA).parquet(inbox), t, [F.desc("v")], str(tmp_path / "c"))
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], SCHEMA).write.mode("append").parquet(inbox)
     start().awaitTermination(120)
-    spark.createDataFrame([(2, "x"), (3, "d")], schema).write.mode("append").parquet(inbox)
+    spark.createDataFrame([(2, "x"), (3, "d")], SCHEMA).write.mode("append").parquet(inbox)
     start().awaitTermination(120)
-    table = spark.read.parquet(version_path(str(tmp_path / "t"), 1))
-    assert sorted(map(tuple, table.collect())) == [(1, "b"), (2, "x"), (3, "d")]
+    assert rows(t.read()) == [(1, "b"), (2, "x"), (3, "d")]
+
+
+def test_a_commit_rewrites_the_touched_buckets_only(spark, tmp_path):
+    t = table(spark, tmp_path, 32)
+    first = t.upsert(spark.range(2000).select(F.col("id").cast("int").alias("k"), F.repeat(F.lit("x"), F.lit(50)).alias("v")), [F.col("v")])
+    before = {r.bucket: r.folder for r in t._commit(first)}
+    second = t.upsert(spark.createDataFrame([(5, "new"), (5, "newer"), (9999, "more")], SCHEMA), [F.desc("v")])
+    after = {r.bucket: r.folder for r in t._commit(second)}
+    assert len(before) == 32 and 1 <= sum(before[b] != after[b] for b in before) <= 2
+    assert t.read().count() == 2001 and rows(t.read().filter("k IN (5, 9999)")) == [(5, "newer"), (9999, "more")]
+    # a reader of the first version sees it whole
+    assert t.read(first).count() == 2000 and rows(t.read(first).filter("k = 5"))[0][1] != "newer"
+    t.delete(spark.createDataFrame([(5,), (7,), (-1,)], "k int"))
+    assert t.read().count() == 1999 and t.versions() == [1, 2, 3]
+    assert t.expire(1) > 0 and t.versions() == [3] and t.read().count() == 1999
+    assert len(list(Path(tmp_path).glob("data/*/*/*.parquet"))) == len({r.folder for r in t._commit(3) if r.folder})
+
+
+def test_the_same_token_counts_once(spark, tmp_path):
+    t = table(spark, tmp_path)
+    one = spark.createDataFrame([(1, "a")], SCHEMA)
+    assert t.read().collect() == [] and t.upsert(one, [F.col("v")], "run") == 1
+    assert t.upsert(spark.createDataFrame([(1, "b")], SCHEMA), [F.col("v")], "run") == 1
+    assert rows(t.read()) == [(1, "a")] and t.upsert(one.limit(0), [F.col("v")], "none") == 2 and rows(t.read()) == [(1, "a")]
