@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ class Workspace:
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str, release: bool = False, **options: object) -> DataFrame:
         """``release``: the shuffles behind it were large; have the driver let go of them, so that Spark's cleaner drops their files now."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         if release:
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
@@ -46,6 +47,11 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """At a task's end: the worker, which lives on for other tasks, gives back what Arrow keeps."""
+    pa.default_memory_pool().release_unused()
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session sends Python workers batches of at most ``BATCH_BYTES``, unless it has a bound of its own.
 

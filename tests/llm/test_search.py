@@ -111,7 +111,7 @@ def test_search_equals_brute_force(spark, docs):
     want = brute_search([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()], 10)
     assert len(want) > 50
     assert searched(lexical.search(docs, items)) == want
-    assert searched(lexical.search(docs, items, block_items=4, pass_blocks=2, postings=500)) == want
+    assert searched(lexical.search(docs, items, pass_items=4, postings=500)) == want
 
 
 def test_search_odd_rows(spark, odd, none):
