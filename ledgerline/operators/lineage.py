@@ -90,6 +90,32 @@ def lifecycle(log: DataFrame) -> DataFrame:
     return log.select("document_id", "status", "at", "event_id", F.row_number().over(own.orderBy("at", "event_id")).alias("version"), F.min("at").over(own).alias("created_at"), F.max("at").over(own).alias("updated_at"))
 
 
+def lifecycle_states(log: DataFrame) -> DataFrame:
+    """(document_id, history, tags): each document's events in order and the tags of all of them, sorted.
+
+    ``log``: document_id, event_id, at, status, filename, parser_used, confidence_score, user, tags. States of parts of a log
+    merge to that of the whole (``merged_states``), whatever the order in which the parts come and though events come twice.
+    A document's history is one array, as the record asks for.
+    """
+    event = F.struct("at", "event_id", "status", "parser_used", "filename", "confidence_score", "user")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    return merged_states(log.select("document_id", F.array(event).alias("history"), tags.alias("tags")))
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return states.groupBy("document_id").agg(every("history").alias("history"), every("tags").alias("tags"))
+
+
+def lifecycle_records(states: DataFrame) -> DataFrame:
+    """A record for each document: what its last event says, a version for each event, the history and all tags."""
+    last, first = F.element_at("history", -1), F.get("history", F.lit(0))
+    return states.select(
+        "document_id", last["filename"].alias("filename"), last["parser_used"].alias("parser_used"), last["status"].alias("status"), last["confidence_score"].alias("confidence_score"), "tags", F.coalesce(last["user"], F.lit("unknown")).alias("user"),
+        F.size("history").alias("version"), F.transform("history", lambda e: F.struct(e["status"].alias("status"), e["at"].alias("timestamp"), e["parser_used"].alias("parser_used"))).alias("status_history"), first["at"].alias("created_at"), last["at"].alias("updated_at"),
+    )
+
+
 def edit_history(edits: DataFrame) -> DataFrame:
     """Edits in order with the value before; an edit that repeats the value before it doesn't count."""
     w = Window.partitionBy("sheet", "claim_id", "field").orderBy("edited_at", "edit_id")

@@ -55,25 +55,23 @@ def greedy_mapping(columns: DataFrame, scores: DataFrame, accepted: Sequence[str
     taken or not, at ``OUTSIDE_SCORE``. ``columns`` (colset, header, pos) holds the distinct sets of columns;
     a group is one set, at most as long as a sheet is wide.
     """
-    order = {f: i for i, f in enumerate(accepted)}
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for field, own in sorted(pdf.groupby("field"), key=lambda kv: order[kv[0]]):
-            by_header = own.source == "header"
-            left = own[by_header & ~own.header.isin(used) & (own.score >= least)]
-            left = (left if len(left) else own[~by_header]).sort_values(["score", "pos"], ascending=[False, True])
-            if len(left):
-                best = left.iloc[0]
-                used.add(best.header)
-                out.append((best.colset, field, best.header, float(best.score), best.source))
-        return pd.DataFrame(out, columns=["colset", "field", "header", "score", "source"])
-
-    known = scores.select("header", "field", "score", F.lit("header").alias("source"))
+    known = scores.select("header", "field", "score", F.lit(0).alias("outside"))
     if outside is not None:
-        known = known.union(outside.select("header", "field", F.lit(OUTSIDE_SCORE), F.lit("outside")).distinct())
-    pairs = columns.join(known.filter(F.col("field").isin(*accepted)), "header").select("colset", "header", "pos", "field", "score", "source")
-    return pairs.groupBy("colset").applyInPandas(take, "colset string, field string, header string, score double, source string")
+        known = known.union(outside.select("header", "field", F.lit(OUTSIDE_SCORE), F.lit(1)).distinct())
+    known = known.filter(F.col("field").isin(*accepted) & ((F.col("outside") == 1) | (F.col("score") >= least)))
+    place = F.array_position(F.array(*(F.lit(f) for f in accepted)), F.col("field")).cast("int")
+    pairs = columns.join(known, "header").select("colset", "field", place.alias("place"), F.struct("outside", (-F.col("score")).alias("below"), "pos", "header").alias("c"))
+    fields = pairs.groupBy("colset", "place", "field").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    sets = fields.groupBy("colset").agg(F.array_sort(F.collect_list(F.struct("place", "field", "cs"))).alias("fs"))
+    found = "array<struct<field:string,header:string,score:double,source:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(found).alias("found"))
+
+    def take(acc: Column, f: Column) -> Column:
+        best = F.get(F.filter(f["cs"], lambda c: (c["outside"] == 1) | ~F.array_contains(acc["used"], c["header"])), F.lit(0))
+        one = F.struct(f["field"].alias("field"), best["header"].alias("header"), (-best["below"]).cast("double").alias("score"), F.when(best["outside"] == 1, "outside").otherwise("header").alias("source"))
+        return F.when(best.isNull(), acc).otherwise(F.struct(F.array_append(acc["used"], best["header"]).alias("used"), F.array_append(acc["found"], one).alias("found")))
+
+    return sets.select("colset", F.explode(F.aggregate("fs", start, take, lambda acc: acc["found"])).alias("m")).select("colset", "m.*")
 
 
 def mapped_records(values: DataFrame, mapped: DataFrame, titles: DataFrame, accepted: Sequence[str]) -> DataFrame:

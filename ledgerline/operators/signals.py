@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,25 +124,25 @@ def reclassify(signals: DataFrame, docs: DataFrame) -> DataFrame:
 def merge_layers(signals: DataFrame) -> DataFrame:
     """Signals (doc_id, layer: model, enriched or keyword, ord, type, keyword) without those that an earlier one covers.
 
-    Model before enriched before keyword; a signal repeats one of the same type and first 30 characters, a
-    keyword one is also covered if its first 10 occur in an accepted one of the type. The rule depends on
-    the order within a document, whose signals form a group.
+    Model before enriched before keyword; a signal repeats one of the same type and first 30 characters, a keyword one is also
+    covered if its first 10 occur in an accepted one of the type. Of signals that repeat each other, or keywords with equal first
+    10 characters, only the first can stay, so partial aggregates reduce a document to those; what they still depend on, the order
+    within a document and type, is a fold over their array (it grows with the square of a type's accepted signals in one document).
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, kept = set(), []
-        rank = pdf.layer.map({"model": 0, "enriched": 0, "keyword": 1}).fillna(1)
-        for at in pdf.assign(rank=rank, first=pdf.layer != "model").sort_values(["rank", "first", "ord"]).index:
-            row = pdf.loc[at]
-            kind, word = (row.type or "").lower(), (row.keyword or "").lower()
-            key = f"{kind}:{word[:30]}"
-            covered = row.layer == "keyword" and word and any(k.split(":")[0] == kind and word[:10] in k for k in keys)
-            if key not in keys and not covered:
-                keys.add(key)
-                kept.append(at)
-        return pdf.loc[kept]
-
-    return signals.groupBy("doc_id").applyInPandas(merge, signals.schema)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    key = F.concat(low("type"), F.lit(":"), F.substring(low("keyword"), 1, 30))
+    listed = F.col("layer") == "keyword"
+    order = F.struct(listed.cast("int").alias("rank"), (F.col("layer") != "model").cast("int").alias("later"), F.col("ord").alias("ord"), F.col("keyword").alias("word"))
+    s = signals.select("doc_id", low("type").alias("__type"), order.alias("__order"), key.alias("__key"), F.substring(low("keyword"), 1, 10).alias("__start"), listed.alias("__listed"), F.struct(*signals.columns).alias("__row"))
+    first = s.groupBy("doc_id", "__type", "__listed", F.when(F.col("__listed"), F.col("__start")).otherwise(F.col("__key")).alias("__same")).agg(F.min_by(F.struct("__order", "__key", "__start", "__listed", "__row"), "__order").alias("x"))
+    own = first.groupBy("doc_id", "__type").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast(f"array<{signals.select(F.struct(*signals.columns).alias('r')).schema['r'].dataType.simpleString()}>").alias("rows"))
+
+    def accept(acc: Column, x: Column) -> Column:
+        covered = x["__listed"] & (x["__start"] != "") & F.exists(acc["keys"], lambda k: F.contains(k, x["__start"]))
+        return F.when(covered | F.array_contains(acc["keys"], x["__key"]), acc).otherwise(F.struct(F.array_append(acc["keys"], x["__key"]).alias("keys"), F.array_append(acc["rows"], x["__row"]).alias("rows")))
+
+    return own.select(F.explode(F.aggregate("xs", start, accept, lambda acc: acc["rows"])).alias("r")).select("r.*")
 
 
 def ocr_index(entries: DataFrame) -> DataFrame:

@@ -155,11 +155,19 @@ def j19_reclassified_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reclassify(docs.select("doc_id", F.lit("damages").alias("keyword"), F.lit("x hit me").alias("snippet"), kind.alias("type"), F.lit("Low").alias("severity")), docs)
 
 
-@query()
+#: Signals of a user's events: layers, types in either case, triggers that hold each other's beginnings, and empty ones.
+_LAYERED = """SELECT user_id AS doc_id, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'model' WHEN 1 THEN 'enriched' ELSE 'keyword' END AS layer, event_id AS ord, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'Tone' WHEN 1 THEN 'tone' ELSE 'Legal' END AS type,
+ CASE CAST(event_id % 7 AS INT) WHEN 0 THEN '' WHEN 1 THEN concat('the ', event_type, ' of page ', CAST(event_id % 13 AS STRING), ' in a long line of words') WHEN 2 THEN concat(event_type, ' of page ', CAST(event_id % 11 AS STRING)) WHEN 3 THEN substring(event_type, 2, 3) WHEN 4 THEN concat('Of Page ', CAST(event_id % 5 AS STRING)) ELSE event_type END AS keyword"""
+
+
+@query(
+    f"WITH RECURSIVE s AS ({_LAYERED.replace('STRING', 'VARCHAR')} FROM events), k AS (SELECT *, lower(type) AS t, lower(type) || ':' || lower(keyword)[1:30] AS k, lower(keyword)[1:10] AS p, row_number() OVER (PARTITION BY doc_id ORDER BY layer = 'keyword', layer <> 'model', ord) AS i FROM s),"
+    " w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS keys, false AS took FROM k UNION ALL SELECT doc_id, i, CASE WHEN took THEN list_append(keys, k) ELSE keys END, took FROM (SELECT w.doc_id, k.i, w.keys, k.k,"
+    " NOT list_contains(w.keys, k.k) AND NOT (k.layer = 'keyword' AND k.p <> '' AND len(list_filter(w.keys, lambda x: split_part(x, ':', 1) = k.t AND contains(x, k.p))) > 0) AS took FROM w JOIN k ON k.doc_id = w.doc_id AND k.i = w.i + 1))"
+    " SELECT doc_id, layer, ord, type, keyword FROM k JOIN w USING (doc_id, i) WHERE took"
+)
 def w03_layered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    layer = F.when(F.col("event_id") % 3 == 0, "model").when(F.col("event_id") % 3 == 1, "enriched").otherwise("keyword")
-    return G.merge_layers(e.select(F.col("user_id").alias("doc_id"), layer.alias("layer"), F.col("event_id").alias("ord"), F.lit("t").alias("type"), F.col("event_type").alias("keyword")))
+    return G.merge_layers(spark.sql(_LAYERED + " FROM {events}", events=table(spark, sf_dir, "events")))
 
 
 @query(

@@ -57,10 +57,11 @@ def _mapped(spark: SparkSession, sf_dir: str, outside: DataFrame | None = None)
 
 #: What a model named, say: a column that no header rule reaches, and one that is taken already.
 OUTSIDE = (("State Amt", "State"), ("Total Paid", "Policy Number"))
+_OUTSIDE_CAND = " UNION ALL SELECT c.sheet, a.i, c.header, c.pos, 0, 0.75::DOUBLE FROM columns c JOIN outside o ON o.header = c.header JOIN acc a ON a.field = o.field"
 _GREEDY = (
     _SCORED.replace("WITH ", "WITH RECURSIVE ", 1)
     + ", acc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(ACCEPTED, 1)) + ") AS t(i, field)), outside AS (SELECT * FROM (VALUES " + ", ".join(str(o) for o in OUTSIDE) + ") AS t(header, field)),"
-    " cand AS (SELECT c.sheet, a.i, c.header, c.pos, 1 AS own, s.score FROM columns c JOIN s ON s.header = c.header JOIN acc a ON a.field = s.field WHERE s.score >= 0.65 UNION ALL SELECT c.sheet, a.i, c.header, c.pos, 0, 0.75::DOUBLE FROM columns c JOIN outside o ON o.header = c.header JOIN acc a ON a.field = o.field),"
+    " cand AS (SELECT c.sheet, a.i, c.header, c.pos, 1 AS own, s.score FROM columns c JOIN s ON s.header = c.header JOIN acc a ON a.field = s.field WHERE s.score >= 0.65" + _OUTSIDE_CAND + "),"
     " g AS (SELECT sheet, 0 AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS header, NULL::DOUBLE AS score, NULL::INT AS own FROM (SELECT DISTINCT sheet FROM columns) UNION ALL"
     " SELECT sheet, i + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.header) END, b.header, b.score, b.own FROM (SELECT g.sheet, g.i, g.used, max({'own': c.own, 'score': c.score, 'at': -c.pos, 'header': c.header}) FILTER (WHERE c.header IS NOT NULL) AS b"
     f" FROM g LEFT JOIN cand c ON c.sheet = g.sheet AND c.i = g.i + 1 AND (c.own = 0 OR NOT list_contains(g.used, c.header)) WHERE g.i < {len(ACCEPTED)} GROUP BY g.sheet, g.i, g.used)),"
@@ -89,13 +90,20 @@ def j04_mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mapped_records(f.select("sheet", "rec", _header().alias("header"), "value"), mapped, titles, ACCEPTED)
 
 
-@query()
+_CONFIDENCE = "CAST(round_even(score * 40 + quality * 60, 0) AS INT)"
+
+
+@query(
+    _GREEDY.replace(_OUTSIDE_CAND, "")
+    + f", r AS (SELECT f.sheet, f.rec, m.field, f.value, m.score FROM (SELECT sheet, rec, {_HEADER} AS header, value FROM fields) f JOIN m ON m.sheet = f.sheet AND m.header = f.header), q AS (SELECT *, CAST({_QUALITY} AS DOUBLE) AS quality FROM r)"
+    f" SELECT rec, CAST(round_even(sum({_CONFIDENCE}) / {len(ACCEPTED)}, 0) AS INT) AS confidence, count(*) AS mapped FROM q GROUP BY rec"
+)
 def a12_mapping_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average confidence of the mapped fields of each record, missing ones as 0."""
     named = _columns(spark, sf_dir).select("sheet", "header", "pos")
-    values = fields(spark, sf_dir).join(F.broadcast(named), ["sheet", "pos"]).select("sheet", "rec", "header", "value")
+    values = fields(spark, sf_dir).join(named, ["sheet", "pos"]).select("sheet", "rec", "header", "value")
     mapped = _mapped(spark, sf_dir).select(F.col("colset").alias("sheet"), F.col("field").alias("target"), "header", "score")
-    each = values.join(F.broadcast(mapped), ["sheet", "header"])
+    each = values.join(mapped, ["sheet", "header"])
     confidence = M.mapping_confidence(F.col("score"), S.value_quality(F.col("value"), F.col("target")))
     return each.groupBy("rec").agg(F.bround(F.sum(confidence) / len(ACCEPTED), 0).cast("int").alias("confidence"), F.count(F.lit(1)).alias("mapped"))
 
@@ -125,20 +133,34 @@ def j08_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cascade(columns, [("memory", memory), ("external", outside)])
 
 
-@query()
+_NAMED_HEADERS = "(SELECT p_type AS header FROM part UNION SELECT header FROM columns)"
+_CAMEL = "regexp_replace(regexp_replace(header, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+_STANDARD = (
+    f"WITH {_COLUMNS}, phrases AS (SELECT * FROM (VALUES " + ", ".join(str(p) for p in PHRASES) + f") AS t(phrase, standard)), w AS (SELECT header, list_filter(string_split(lower(regexp_replace({_CAMEL}, '[^a-zA-Z]+', ' ', 'g')), ' '), lambda w: len(w) > 1) AS w FROM {{headers}}),"
+    " runs AS (SELECT header, n, i, array_to_string(w[i + 1:i + n], ' ') AS phrase FROM w, range(1, 5) AS a(n), range(0, 30) AS b(i) WHERE i + n <= len(w)),"
+    " best AS (SELECT header, standard, max(10 * n - i) AS score, min(i + 100 * n) AS at_place FROM runs JOIN phrases USING (phrase) GROUP BY ALL),"
+    " std AS (SELECT header, standard, CAST(score AS INT) AS score FROM best QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, at_place) = 1)"
+)
+
+
+@query(_STANDARD.format(headers=_NAMED_HEADERS) + " SELECT * FROM std WHERE score >= 8")
 def p12_standard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = table(spark, sf_dir, "part").select(F.col("p_type").alias("header")).union(_columns(spark, sf_dir).select("header")).distinct()
     return M.standard_names(headers, spark.createDataFrame(PHRASES, "phrase string, standard string"))
 
 
-@query()
+@query(
+    _STANDARD.format(headers="(SELECT DISTINCT header FROM columns)")
+    + ", f AS (SELECT c.sheet, c.header, s.standard AS name FROM columns c JOIN std s ON s.header = c.header WHERE s.score >= 8 QUALIFY row_number() OVER (PARTITION BY c.sheet, s.standard ORDER BY pos) = 1)"
+    " SELECT * FROM f UNION ALL SELECT sheet, header, 'State Code' FROM columns c WHERE header IN ('State', 'STATE') AND NOT EXISTS (SELECT 1 FROM f WHERE f.sheet = c.sheet AND (f.header = c.header OR f.name = 'State Code')) QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY pos) = 1"
+)
 def p13_renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = _columns(spark, sf_dir)
     standards = M.standard_names(columns.select("header").distinct(), spark.createDataFrame(PHRASES, "phrase string, standard string"))
     return M.rename_columns(columns, standards, spark.createDataFrame([("State", "State Code"), ("STATE", "State Code")], "header string, field string"))
 
 
-@query()
+@query(f"WITH {FIELDS_CTE} SELECT DISTINCT status, upper(status) AS label, CAST(NULL AS VARCHAR) AS error FROM claims")
 def u02_model_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A local stand-in for a model on the distinct statuses."""
     rows = claims(spark, sf_dir).select("status")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerline.operators import mapping, stores
+from ledgerline.operators import lineage, mapping, stores
 from ledgerline.operators.keyed_store import KeyedTable, shared_folder
 from ledgerline.plans.registry import query
 from ledgerline.plans.tables import _AGAIN
@@ -82,3 +82,23 @@ def j08_resolved_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = mapping.resolve_columns(memory, columns.filter(some).drop("vec_id"), "guide", candidates, outside, run, 0.3)
     kept = memory.read().select(F.col("source_column_raw").alias("header"), F.col("method").alias("remembered_as"), "hit_count", "user_corrected")
     return found.join(kept, "header")
+
+
+@query(
+    "WITH e AS (SELECT *, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN [event_type] WHEN 1 THEN ['t' || (event_id % 5), event_type] ELSE [] END AS tags FROM events WHERE event_id % 10 < 9),"
+    " g AS (SELECT user_id AS document_id, string_agg(event_type || ':' || event_id || '/' || (event_id % 2), ' > ' ORDER BY ts, event_id) AS history, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, CAST(count(*) AS INT) AS version, arg_max(event_type, (ts, event_id)) AS status, min(ts) AS created_at, max(ts) AS updated_at, max({'t': ts, 'i': event_id}).i AS last FROM e GROUP BY user_id)"
+    " SELECT document_id, status, version, history, tags, CASE WHEN last % 6 = 0 THEN 'unknown' ELSE 'u' || (last % 6) END AS user_name, 'f' || last AS filename, created_at, updated_at FROM g"
+)
+def w05_lifecycle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of events, late ones after early ones and some twice, merged into the documents' records."""
+    e = table(spark, sf_dir, "events").filter("event_id % 10 < 9")
+    tags = F.when(F.col("event_id") % 3 == 0, F.array("event_type")).when(F.col("event_id") % 3 == 1, F.array(F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string")), "event_type"))
+    user = F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("u"), (F.col("event_id") % 6).cast("string")))
+    log = e.select(F.col("user_id").alias("document_id"), "event_id", F.col("ts").alias("at"), F.col("event_type").alias("status"), F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"), F.lit("/"), (F.col("event_id") % 2).cast("string")).alias("parser_used"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("filename"), F.lit(0.5).alias("confidence_score"), user.alias("user"), tags.alias("tags"))
+    states = lineage.lifecycle_states(log)
+    store = KeyedTable(spark, shared_folder(spark), states.schema, ["document_id"], 16)
+    for some in ("event_id % 10 >= 5", "event_id % 10 < 4", "event_id % 10 BETWEEN 3 AND 6"):
+        store.merge(lineage.lifecycle_states(log.filter(some)), lineage.merged_states)
+    r = lineage.lifecycle_records(store.read())
+    history = F.array_join(F.transform("status_history", lambda x: x["parser_used"]), " > ")
+    return r.select("document_id", "status", "version", history.alias("history"), F.array_join("tags", ",").alias("tags"), F.col("user").alias("user_name"), "filename", "created_at", "updated_at")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.keyed_store import KeyedTable
+from ledgerline.operators.lineage import lifecycle_states, merged_states
 
 
 def upsert_stream(source: DataFrame, table: KeyedTable, order: Sequence[Column], checkpoint: str, keep: int = 2, **trigger) -> StreamingQuery:
@@ -21,3 +22,13 @@ def upsert_stream(source: DataFrame, table: KeyedTable, order: Sequence[Column],
         table.expire(keep)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def lifecycle_stream(source: DataFrame, table: KeyedTable, checkpoint: str, keep: int = 2, **trigger) -> StreamingQuery:
+    """Keeps the documents' states (``lifecycle_states``) up to date; late and repeated events find their place in the history."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(lifecycle_states(batch), merged_states, token=f"batch {number}")
+        table.expire(keep)
+
+    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
