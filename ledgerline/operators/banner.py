@@ -82,12 +82,20 @@ def _administrator(v: Column) -> Column:
     return F.when(F.contains(first, F.lit(" - ")) & tail.rlike(REPORT_TAIL), _strip(head)).otherwise(first)
 
 
+def _told(field: str, value: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+
+def line_kind(v: Column) -> Column:
+    """Field and value of a line that names a line of business or a company (field ``company``: its place decides what it is); else null."""
+    lines = [F.when(v.rlike(f"(?i){p}"), _told("Line of Business", F.lit(name))) for p, name in BUSINESS_LINES]
+    return F.when(~v.rlike(NOTE), F.coalesce(*lines, F.when(v.rlike(COMPANY), _told("company", v))))
+
+
 def _caption(v: Column) -> Column:
-    """Field and value of a line without a label; the companies' place decides later what they are."""
-    told = lambda f, x: F.struct(F.lit(f).alias("field"), x.alias("value"))
-    lines = [F.when(v.rlike(f"(?i){p}"), told("Line of Business", F.lit(name))) for p, name in BUSINESS_LINES]
+    """Field and value of a line without a label."""
     title = F.when(v.rlike(LOSS_RUN), _strip(F.regexp_extract(v, LOSS_RUN, 1))).otherwise(v)
-    return F.when(v.rlike(NOTE), told("Sheet Title", title)).otherwise(F.coalesce(*lines, F.when(v.rlike(COMPANY), told("company", v)), told("Sheet Title", title)))
+    return F.coalesce(line_kind(v), _told("Sheet Title", title))
 
 
 def banner_fields(grid: DataFrame, headers: DataFrame | None = None) -> DataFrame:

@@ -48,16 +48,26 @@ def best_type(scores: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", F.when(F.col("score") > 0, F.col("doc_type")).alias("doc_type"), "score")
 
 
-def classify(scores: DataFrame, least: int = 4, lead: int = 3, auto: float = 0.65) -> DataFrame:
-    """The dominant type of a document and its route; without one ``source`` is ``deferred``."""
+def classify(scores: DataFrame, least: int = 4, lead: int = 3, auto: float = 0.65, empty: DataFrame | None = None) -> DataFrame:
+    """The dominant type of a document and its route; without one ``source`` is ``deferred``.
+
+    Documents in ``empty`` (doc_id), those without text, are ``Legal`` at 0, for review by hand.
+    """
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "ord")
     top = scores.select("doc_id", "doc_type", "score", F.lead("score", 1, 0).over(w).alias("second"), F.row_number().over(w).alias("r")).filter("r = 1")
     clear = (F.col("score") >= least) & (F.col("score") - F.col("second") >= lead)
     sure = F.bround(F.least(F.lit(0.8), 0.55 + 0.25 * (F.col("score") - F.col("second")) / F.greatest("score", F.lit(1))), 2)
     out = top.select("doc_id", F.when(clear, F.col("doc_type")).alias("classification"), F.when(clear, sure).alias("confidence"), F.when(clear, "keyword").otherwise("deferred").alias("source"))
+    if empty is not None:
+        blank = empty.select("doc_id").distinct()
+        out = out.join(blank, "doc_id", "left_anti").unionByName(blank.select("doc_id", F.lit("Legal").alias("classification"), F.lit(0.0).alias("confidence"), F.lit("fallback").alias("source")))
     return out.withColumn("route", F.when(F.col("confidence") >= auto, "auto_process").otherwise("manual_review"))
 
 
+def without_text(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == "").select("doc_id")
+
+
 #: A snippet that meets one of these, or has a keyword right after one of the words, gives no signal.
 NEGATIONS = ("i(?:'m| am) fine", "no injuries", "not injured", "wasn't (?:in|hurt|injured)", "was not (?:in|hurt|injured)")
 NEGATING = "(?:no|not|without|denies?|denied|none|wasn't|was not) "
@@ -149,9 +159,14 @@ def without_triggers(signals: DataFrame, blocked: Sequence[str]) -> DataFrame:
     return signals.filter(~F.lower(F.trim("keyword")).isin(*blocked))
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), one row a document: of a repeated id the least text counts."""
+    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def grounded(entities: DataFrame, docs: DataFrame, cap: float = 0.45) -> DataFrame:
     """Entities (doc_id, name, value, confidence) with whether their text bears them: verbatim, half of the long words, or a run of four digits."""
-    joined = entities.join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    joined = entities.join(one_text(docs).select("doc_id", F.lower("text").alias("low")), "doc_id")
     v = F.lower(F.trim("value"))
     words = F.filter(F.split(v, "[^0-9a-z]+"), lambda w: F.length(w) > 3)
     share = F.size(F.filter(words, lambda w: F.contains(F.col("low"), w))) * 2 >= F.size(words)

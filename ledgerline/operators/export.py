@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def last_of_each(entries: Column, key: str = "field") -> Column:
+    """Entries without those whose key comes again later: a map takes each key once."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x[key] == e[key]))
+
+
 def record_maps(fields: DataFrame) -> DataFrame:
-    """(sheet, rec, claim_id, fields): the filled values of a record as a map in column order."""
+    """(sheet, rec, claim_id, fields): the filled values of a record as a map in column order; of a field that comes twice the last."""
     entries = F.array_sort(F.collect_list(F.struct("pos", "field", "value")))
     filled = fields.filter("trim(value) <> ''")
-    return filled.groupBy("sheet", "rec", "claim_id").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["field"], e["value"]))).alias("fields"))
+    return filled.groupBy("sheet", "rec", "claim_id").agg(F.map_from_entries(F.transform(last_of_each(entries), lambda e: F.struct(e["field"], e["value"]))).alias("fields"))
 
 
 def standard_documents(fields: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def transaction_documents(fields: DataFrame, kind: str = "UPDATE") -> DataFrame:
     """One JSON transaction a record, each filled field with whether it was edited; ``original`` is null for those that weren't."""
     value = F.struct("value", F.col("original").isNotNull().alias("edited"), F.col("original").alias("originalValue"))
     entries = F.array_sort(F.collect_list(F.struct("pos", "field", value.alias("v"))))
-    m = fields.filter("trim(value) <> ''").groupBy("sheet", "rec").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["field"], e["v"]))).alias("claim"))
+    m = fields.filter("trim(value) <> ''").groupBy("sheet", "rec").agg(F.map_from_entries(F.transform(last_of_each(entries), lambda e: F.struct(e["field"], e["v"]))).alias("claim"))
     return m.select("sheet", "rec", F.to_json(F.struct(F.lit(kind).alias("transactionType"), "claim")).alias("document"))
 
 

@@ -24,6 +24,8 @@ TOTAL_CELLS = ("totals", "total", "grand total")
 AGGREGATE_START = "^(total|totals|grand\\s*total|subtotal|aggregate|summary|sum|report\\s*(date|total|summary)|all\\s+adjusters|ytd\\s+total|period\\s+total|fiscal\\s+total|portfolio\\s+total)"
 AGGREGATE_INSIDE = "aggregate|summary|totals?_|_total|report_date|all_adjuster"
 AGGREGATE_TOKENS = ("total", "totals", "aggregate", "summary", "subtotal", "grand", "portfolio", "report")
+#: A row of three numbers or more, all above this, is one of sums, unless it starts like a claim. Cells are texts: those that are plain numbers count.
+LARGE, CLAIM_ID, PLAIN_NUMBER = 50_000, "^([A-Z]{2,5}[-_][A-Z]{0,3}[0-9]{3,}|[0-9]{4,}$)", "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"
 #: Rows in which a header or the kind of a sheet is looked for; part of the rule.
 TOP_ROWS = 20
 MAGIC = {".pdf": "25504446", ".xlsx": "504B0304", ".docx": "504B0304"}
@@ -109,7 +111,9 @@ def is_aggregate(cells: Column) -> Column:
     tokens = F.split(F.lower(first), "[_\\s]+")
     token = (F.size(tokens) >= 2) & F.exists(tokens, lambda x: x.isin(*AGGREGATE_TOKENS))
     lines = F.exists(F.slice(f, 1, 6), lambda c: c.rlike("(?i)^(total\\s+claims|report\\s+date|all\\s+adjusters|open:\\s*[0-9]|pend:\\s*[0-9])"))
-    return (F.size(f) > 0) & (first.rlike(f"(?i){AGGREGATE_START}") | first.rlike(f"(?i)({AGGREGATE_INSIDE})") | token | lines)
+    numbers = F.filter(F.transform(f, lambda c: F.when(c.rlike(PLAIN_NUMBER), c.cast("double"))), lambda x: x.isNotNull())
+    sums = (F.size(numbers) >= 3) & F.forall(numbers, lambda x: x > LARGE) & ~first.rlike(f"(?i){CLAIM_ID}")
+    return (F.size(f) > 0) & (sums | first.rlike(f"(?i){AGGREGATE_START}") | first.rlike(f"(?i)({AGGREGATE_INSIDE})") | token | lines)
 
 
 def is_total(cells: Column) -> Column:
@@ -200,7 +204,6 @@ def row_kinds(grid: DataFrame) -> DataFrame:
 
 
 # Fixed values.
-_DAY = "\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{2,4}|\\d{1,2}\\s+\\w+\\s+\\d{4}"
 _TO = "[\\s\u2013\u2014\\-to]+"
 #: Field, pattern, group; of these only the first region with the field counts as understood.
 BANNER_ONCE = (
@@ -208,7 +211,8 @@ BANNER_ONCE = (
     ("Contract Number", "Contract\\s*(?:No\\.?|Number|#|Ref)?\\s*[:\\-]\\s*([A-Z0-9][A-Z0-9\\-/.]+)", 1),
 )
 _STATE, _CARRIER = "State\\s*[:\\-]\\s*([^|;]+)", "Carrier\\s*[:\\-]\\s*([^|;]+)"
-_UNDERWRITING, _PERIOD = f"Underwriting\\s+Period\\s*[:\\-]?\\s*({_DAY}){_TO}({_DAY})", f"Period\\s*[:\\-]?\\s*({_DAY}){_TO}({_DAY})"
+_UNDERWRITING_DAY, _PERIOD_DAY = "(\\d{1,2}\\s+\\w+\\s+\\d{4}|\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{2,4})", "(\\d{1,2}[/\\-\\.]\\d{1,2}[/\\-\\.]\\d{2,4}|\\d{1,2}\\s+\\w+\\s+\\d{4})"
+_UNDERWRITING, _PERIOD = f"Underwriting\\s+Period\\s*[:\\-]?\\s*{_UNDERWRITING_DAY}{_TO}{_UNDERWRITING_DAY}", f"Period\\s*[:\\-]?\\s*{_PERIOD_DAY}{_TO}{_PERIOD_DAY}"
 BANNER_ALWAYS = (
     ("Carrier", _CARRIER, 1), ("Carrier Name", _CARRIER, 1), ("State", _STATE, 1), ("Jurisdiction", _STATE, 1), ("State Code", _STATE, 1),
     ("Underwriting Period Start", _UNDERWRITING, 1), ("Underwriting Period End", _UNDERWRITING, 2), ("Policy Period Start", _PERIOD, 1), ("Policy Period End", _PERIOD, 2),
@@ -223,27 +227,35 @@ BUSINESS_LINES = (
 def merged_fields(regions: DataFrame) -> DataFrame:
     """(sheet, field, value, row_start, col_start) from merged title and header regions (sheet, type, row_start, col_start, value).
 
-    Labelled facts and lines of business by pattern, the first region of a field wins; a region that tells
-    nothing new gives its own ``KEY: value`` or, without a separator, its text under its place. Names of
-    companies without a label aren't classified.
+    Regions in order, as a fold over a sheet's array of them (a sheet has some dozens): labelled facts and lines of business by
+    pattern, the first of a field wins; a region that tells nothing new gives its own ``KEY: value``; without a separator a line of
+    business or a company (the first is the carrier, if none is known, later ones the insured), else its text under its place.
     """
+    from ledgerline.operators.banner import line_kind
+    from ledgerline.operators.blocks import title_case
+
     v = F.trim("value")
     part = lambda f, p, g, once: F.when(v.rlike(f"(?i){p}"), F.struct(F.lit(f).alias("field"), F.trim(F.regexp_extract("value", f"(?i){p}", g)).alias("value"), F.lit(once).alias("once")))
     underwriting = v.rlike(f"(?i){_UNDERWRITING}")
     line = F.coalesce(*(F.when(v.rlike(f"(?i){p}"), F.struct(F.lit("Line of Business").alias("field"), F.lit(name).alias("value"), F.lit(True).alias("once"))) for p, name in BUSINESS_LINES))
     always = [F.when(~underwriting, part(f, p, g, False)) if p == _PERIOD else part(f, p, g, False) for f, p, g in BANNER_ALWAYS]
     facts = F.filter(F.array(*(part(f, p, g, True) for f, p, g in BANNER_ONCE), *always, line), lambda x: x.isNotNull())
-    place = ["sheet", "row_start", "col_start"]
-    told = regions.filter(F.col("type").isin("TITLE", "HEADER") & (v != "")).select(*place, "type", v.alias("text"), facts.alias("facts"))
-    each = told.select(*place, F.explode("facts").alias("f")).select(*place, "f.*")
-    first = each.withColumn("r", F.row_number().over(Window.partitionBy("sheet", "field").orderBy("row_start", "col_start")))
-    understood = first.filter("NOT once OR r = 1").select(*place).distinct()
-    rest = told.join(understood, place, "left_anti")
+    spot = F.concat(F.lit(" [R"), F.col("row_start").cast("string"), F.lit("C"), F.col("col_start").cast("string"), F.lit("]"))
     pair = "^([^:\\-]{3,40})[:\\-]\\s*(.+)$"
-    spot = F.concat(F.lit("R"), F.col("row_start").cast("string"), F.lit("C"), F.col("col_start").cast("string"))
-    split = F.col("text").rlike(pair)
-    key = F.when(split, F.initcap(F.trim(F.regexp_extract("text", pair, 1)))).otherwise(F.concat(F.initcap("type"), F.lit(" ["), spot, F.lit("]")))
-    raw = rest.select(*place, key.alias("field"), F.when(split, F.trim(F.regexp_extract("text", pair, 2))).otherwise(F.col("text")).alias("value"), F.lit(True).alias("raw"))
-    both = first.filter("r = 1").select(*place, "field", "value", F.lit(False).alias("raw")).unionByName(raw)
-    again = both.withColumn("r", F.row_number().over(Window.partitionBy("sheet", "field").orderBy("raw", "row_start", "col_start")))
-    return again.select("sheet", F.when(F.col("r") > 1, F.concat("field", F.lit(" ["), spot, F.lit("]"))).otherwise(F.col("field")).alias("field"), "value", "row_start", "col_start")
+    kind = line_kind(v)
+    key = F.when(v.rlike(pair), title_case(F.trim(F.regexp_extract(v, pair, 1)))).otherwise(F.coalesce(kind["field"], F.concat(F.initcap("type"), spot)))
+    raw = F.struct(key.alias("field"), F.when(v.rlike(pair), F.trim(F.regexp_extract(v, pair, 2))).otherwise(F.coalesce(kind["value"], v)).alias("value"), (~v.rlike(pair) & (kind["field"] == "company")).alias("company"))
+    told = regions.filter(F.col("type").isin("TITLE", "HEADER") & (v != "")).select("sheet", F.struct("row_start", "col_start", v.alias("text"), spot.alias("spot"), facts.alias("facts"), raw.alias("raw")).alias("x"))
+    found = "array<struct<field:string,value:string,row_start:int,col_start:int>>"
+    has = lambda acc, name: F.exists(acc, lambda f: f["field"] == name)
+
+    def add(acc: Column, x: Column) -> Column:
+        put = lambda f, value: F.struct(f.alias("field"), value.alias("value"), x["row_start"].cast("int").alias("row_start"), x["col_start"].cast("int").alias("col_start"))
+        new = F.transform(F.filter(x["facts"], lambda f: ~has(acc, f["field"])), lambda f: put(f["field"], f["value"]))
+        known = F.exists(x["facts"], lambda f: ~f["once"] | ~has(acc, f["field"]))
+        name = F.when(F.coalesce(x["raw"]["company"], F.lit(False)), F.when(has(acc, "Carrier") | has(acc, "Insured Name"), "Insured Name").otherwise("Carrier")).otherwise(x["raw"]["field"])
+        own = put(F.when(has(acc, name), F.concat(name, x["spot"])).otherwise(name), x["raw"]["value"])
+        return F.when(known, F.concat(acc, new)).otherwise(F.concat(F.filter(acc, lambda f: f["field"] != own["field"]), F.array(own)))
+
+    own = told.groupBy("sheet").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return own.select("sheet", F.explode(F.aggregate("xs", F.array().cast(found), add)).alias("f")).select("sheet", "f.*")

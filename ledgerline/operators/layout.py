@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
+from ledgerline.operators.documents import one_text
 
 # Fixed values.
 ADDRESS = "(?i)^([0-9]+\\s+\\w.*|P\\.?O\\.?\\s*BOX\\s+[0-9]|[0-9]+[-/][0-9]+\\s+\\w.*)"
@@ -20,9 +21,11 @@ PLAIN_WORDS = ("signal", "detected", "identified", "document", "indicates", "ref
 
 
 def column_letter(pos: Column) -> Column:
-    """A, B, ... Z, AA, ... of a position from 0, up to two letters."""
+    """A, B, ... Z, AA, ... of a position from 0, up to three letters (18,278 columns)."""
     letter = lambda n: F.char((F.lit(65) + n).cast("long"))
-    return F.when(pos < 26, letter(pos)).otherwise(F.concat(letter(F.floor(pos / 26) - 1), letter(pos % 26)))
+    two, three = pos - 26, pos - 702
+    last_two = lambda p: F.concat(letter(F.floor(p / 26) % 26), letter(p % 26))
+    return F.when(pos < 26, letter(pos)).when(two < 676, last_two(two)).otherwise(F.concat(letter(F.floor(three / 676)), last_two(three)))
 
 
 def subrow_kind(v: Column, pos: Column) -> Column:
@@ -69,7 +72,7 @@ def label_blocks(lines: DataFrame) -> DataFrame:
 
 def verbatim_dates(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Entities (doc_id, name, value) without date fields whose value, with or without its time, the text lacks."""
-    joined = entities.join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    joined = entities.join(one_text(docs).select("doc_id", F.lower("text").alias("low")), "doc_id")
     day = F.trim(F.regexp_replace("value", "\\s+[0-9]{1,2}:[0-9]{2}.*$", ""))
     there = F.contains("low", F.lower("value")) | ((F.length(day) >= 4) & F.contains("low", F.lower(day)))
     return joined.filter(~F.lower("name").rlike(DATE_NAMES) | (F.trim("value") == "") | there).drop("low")
@@ -77,7 +80,7 @@ def verbatim_dates(entities: DataFrame, docs: DataFrame) -> DataFrame:
 
 def grounded_signals(signals: DataFrame, docs: DataFrame, hints: Mapping[str, Sequence[str]], cap: float = 0.45) -> DataFrame:
     """Signals (doc_id, type, keyword, description, snippet, confidence) with whether the text bears them out; none is dropped."""
-    joined = signals.join(docs.select("doc_id", F.lower("text").alias("low")).withColumn("words", F.split("low", "\\s+")), "doc_id")
+    joined = signals.join(one_text(docs).select("doc_id", F.lower("text").alias("low")).withColumn("words", F.split("low", "\\s+")), "doc_id")
     tokens = lambda c, n: F.array_distinct(F.filter(F.split(F.lower(c), "\\s+"), lambda w: F.length(w) >= n))
     share = lambda t: F.size(F.array_intersect(t, "words")) / F.greatest(F.size(t), F.lit(1))
     snippet = (F.length("snippet") >= 3) & (F.contains("low", F.lower("snippet")) | (share(tokens("snippet", 3)) >= 0.25))
@@ -95,7 +98,7 @@ def merge_ocr(text_fields: DataFrame, ocr: DataFrame) -> DataFrame:
     """Fields (doc_id, page, name, value, confidence) of the page text with the OCR's confidence where it is above 0, and the OCR's own fields."""
     key = F.trim(F.regexp_replace(F.lower("name"), "[\\s:]+", " "))
     a = text_fields.withColumn("k", key)
-    b = ocr.withColumn("k", key).groupBy("doc_id", "page", "k").agg(F.max_by("name", "confidence").alias("o_name"), F.max_by("value", "confidence").alias("o_value"), F.max("confidence").alias("o_confidence"))
+    b = ocr.withColumn("k", key).groupBy("doc_id", "page", "k").agg(F.max_by(F.struct("name", "value"), F.struct("confidence", "name", "value")).alias("o"), F.max("confidence").alias("o_confidence")).select("*", F.col("o.name").alias("o_name"), F.col("o.value").alias("o_value")).drop("o")
     both = a.join(b, ["doc_id", "page", "k"], "full_outer")
     sure = F.when(F.col("o_confidence") > 0, F.col("o_confidence")).otherwise(F.col("confidence"))
     return both.select("doc_id", "page", F.coalesce("name", "o_name").alias("name"), F.coalesce("value", "o_value").alias("value"), F.coalesce(sure, F.lit(0.0)).alias("confidence"))

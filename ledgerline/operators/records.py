@@ -34,7 +34,7 @@ def low_confidence(fields: DataFrame, threshold: float) -> DataFrame:
 
 def missing_required(records: DataFrame, fields: DataFrame, required: DataFrame) -> DataFrame:
     """(rec, field) of required fields that a record lacks or holds empty; ``required`` is a small dictionary."""
-    wanted = records.select("rec").distinct().withColumn("field", F.explode(F.array(*(F.lit(r.field) for r in required.collect()))))
+    wanted = records.select("rec", F.lit(1).alias("__all")).distinct().join(F.broadcast(required.select("field", F.lit(1).alias("__all")).distinct()), "__all").drop("__all")
     return wanted.join(fields.filter(F.trim("value") != "").select("rec", "field"), ["rec", "field"], "left_anti")
 
 
@@ -65,10 +65,9 @@ def duplicate_ids(proposed: DataFrame, records: DataFrame) -> DataFrame:
 
 def column_totals(fields: DataFrame) -> DataFrame:
     """Sums of the amount columns of each sheet; values that aren't numbers are left out, columns of zeros too."""
-    names = fields.select("field").distinct().filter(S.is_financial(F.col("field")))
     number = S.number_of(F.trim(F.regexp_replace("value", "[,$%]", "")))
-    sums = fields.join(F.broadcast(names), "field").select("sheet", "field", number.alias("n")).filter("n IS NOT NULL")
-    return sums.groupBy("sheet", "field").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") != 0).alias("some")).filter("some").drop("some")
+    sums = fields.select("sheet", "field", number.alias("n")).filter("n IS NOT NULL")
+    return sums.groupBy("sheet", "field").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") != 0).alias("some")).filter("some").drop("some").filter(S.is_financial(F.col("field")))
 
 
 def totals_with_fallback(explicit: DataFrame, computed: DataFrame) -> DataFrame:
@@ -90,8 +89,8 @@ def distinct_fields(fields: DataFrame) -> DataFrame:
 
 
 def overlay_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
-    """Fields with the latest edit of each (rec, field): replaced, deleted or added."""
-    w = Window.partitionBy("rec", "field").orderBy(F.desc("edited_at"))
+    """Fields with the latest edit of each (rec, field): replaced, deleted or added; of edits at one time the last by kind, then by value."""
+    w = Window.partitionBy("rec", "field").orderBy(F.desc("edited_at"), F.desc("kind"), F.desc("new_value"))
     last = edits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("rec", "field", "kind", "new_value")
     both = fields.select("rec", "field", "value").join(last, ["rec", "field"], "full_outer")
     return both.filter("kind IS NULL OR kind <> 'delete'").select("rec", "field", F.when(F.col("kind").isNotNull(), F.col("new_value")).otherwise(F.col("value")).alias("value"))

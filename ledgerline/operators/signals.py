@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
+from ledgerline.operators.documents import one_text
 from ledgerline.operators.mapping import name_tokens, token_similarity
 
 # Fixed values.
@@ -114,7 +115,7 @@ def typed_patterns(docs: DataFrame, patterns: Mapping[str, str] = PATTERNS) -> D
 
 def reclassify(signals: DataFrame, docs: DataFrame) -> DataFrame:
     """Ambiguous legal triggers become recovery signals where the context tells of a third party's fault and of no litigation."""
-    joined = signals.join(docs.select("doc_id", F.lower(F.left("text", F.lit(CONTEXT_CHARS))).alias("start")), "doc_id")
+    joined = signals.join(one_text(docs).select("doc_id", F.lower(F.left("text", F.lit(CONTEXT_CHARS))).alias("start")), "doc_id")
     context = F.concat_ws(" ", F.lower("snippet"), "start")
     holds = lambda phrases: F.exists(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(context, p))
     turn = (F.col("type") == "legal_escalation") & F.lower(F.trim("keyword")).isin(*AMBIGUOUS) & holds(THIRD_PARTY) & ~holds(LITIGATION)

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.standardize import normal_header
+from ledgerline.operators.export import last_of_each
 from ledgerline.operators.stores import latest, upsert
 
 
 def snapshots(fields: DataFrame, order: Column) -> DataFrame:
-    """(claim_id, fields): a typed map of the filled values of each claim's last record by ``order``."""
+    """(claim_id, fields): a map of the filled values of each claim's last record by ``order``; of a field that comes twice the last by ``pos``, if there is one, then by value."""
     last = fields.select("claim_id", "rec", order.alias("__o")).distinct()
     last = latest(last, ["claim_id"], [F.desc("__o")]).select("claim_id", "rec")
     filled = fields.filter(F.trim("value") != "").join(last, ["claim_id", "rec"], "left_semi")
-    return filled.groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.trim("value")))).alias("fields"))
+    place = F.col("pos") if "pos" in filled.columns else F.lit(0)
+    entries = F.array_sort(F.collect_list(F.struct(place.alias("pos"), "field", F.trim("value").alias("value"))))
+    return filled.groupBy("claim_id").agg(F.map_from_entries(F.transform(last_of_each(entries), lambda e: F.struct(e["field"], e["value"]))).alias("fields"))
 
 
 def map_changes(old: Column, new: Column) -> Column:

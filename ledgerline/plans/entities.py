@@ -110,10 +110,10 @@ def a22_flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.without_placeholders(fields(spark, sf_dir), ("", "yes", "no", "n/a", "pending")).select("rec", "field", "value")
 
 
-@query("SELECT l_suppkey, sum(l_extendedprice * l_discount)::DECIMAL(18,2)::DOUBLE AS cost FROM lineitem GROUP BY l_suppkey ORDER BY sum(l_extendedprice * l_discount) DESC LIMIT 8")
+@query("SELECT l_suppkey, sum(l_extendedprice * l_discount)::DECIMAL(18,2)::DOUBLE AS cost FROM lineitem GROUP BY l_suppkey ORDER BY sum(l_extendedprice * l_discount) DESC, l_suppkey LIMIT 8")
 def o01_cost_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("c"))
-    return by.orderBy(F.desc("c")).limit(8).select("l_suppkey", F.col("c").cast("decimal(18,2)").cast("double").alias("cost"))
+    return by.orderBy(F.desc("c"), "l_suppkey").limit(8).select("l_suppkey", F.col("c").cast("decimal(18,2)").cast("double").alias("cost"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE event_type = 'signup'")

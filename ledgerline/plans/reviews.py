@@ -108,7 +108,7 @@ def f17_allowed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _legacy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet for each policy, every third without the marks of a print layout; a main row, a sub row and a closing row for each claim."""
     own = Window.partitionBy("policy_number")
-    n = claims(spark, sf_dir).withColumns({"r": F.row_number().over(own.orderBy("rec")), "plain": F.pmod(F.xxhash64("policy_number"), F.lit(3)) < 0})
+    n = claims(spark, sf_dir).withColumn("r", F.row_number().over(own.orderBy("rec")))
     n = n.withColumn("plain", F.regexp_extract("policy_number", "([0-9]+)$", 1).cast("long") % 3 == 0)
     none, lit = F.lit(None).cast("string"), lambda *c: F.array(*(F.lit(x).cast("string") for x in c))
     closing = F.when(F.col("rec") % 3 == 0, lit("", " ", None)).when(F.col("rec") % 3 == 1, lit("Total for file", "1", None)).otherwise(F.when(F.col("plain"), lit("")).otherwise(lit("----------", None, "----------")))

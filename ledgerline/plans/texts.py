@@ -53,10 +53,12 @@ def j12_best_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_SCORES}, t AS (SELECT doc_id, doc_type, score, lead(score, 1, 0) OVER w AS second, row_number() OVER w AS r FROM scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, ord)), c AS (SELECT *, score >= 4 AND score - second >= 3 AS clear, CAST(round_even(least(0.8, 0.55 + 0.25 * (score - second) / greatest(score, 1)), 2) AS DOUBLE) AS sure FROM t WHERE r = 1)"
-    " SELECT doc_id, CASE WHEN clear THEN doc_type END AS classification, CASE WHEN clear THEN sure END AS confidence, CASE WHEN clear THEN 'keyword' ELSE 'deferred' END AS source, CASE WHEN clear AND sure >= 0.65 THEN 'auto_process' ELSE 'manual_review' END AS route FROM c"
+    " SELECT doc_id, CASE WHEN clear THEN doc_type END AS classification, CASE WHEN clear THEN sure END AS confidence, CASE WHEN clear THEN 'keyword' ELSE 'deferred' END AS source, CASE WHEN clear AND sure >= 0.65 THEN 'auto_process' ELSE 'manual_review' END AS route FROM c WHERE doc_id % 17 <> 3"
+    " UNION ALL SELECT doc_id, 'Legal', 0.0, 'fallback', 'manual_review' FROM documents WHERE doc_id % 17 = 3"
 )
 def w01_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.classify(D.dictionary_scores(_docs(spark, sf_dir), DICTIONARY))
+    blanked = _docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 17 == 3, F.when(F.col("doc_id") % 2 == 0, " \n")).otherwise(F.col("text")))
+    return D.classify(D.dictionary_scores(blanked, DICTIONARY), empty=D.without_text(blanked))
 
 
 @query(f"WITH {_SIGNALS} SELECT doc_id, type, severity, keyword FROM signals")
