@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +28,41 @@ MAX_BYTES = 25 << 20
 
 
 def read_csv_grid(spark: SparkSession, paths: str) -> DataFrame:
-    """A grid row for each line record of CSV files, raw strings in file order; files are parsed side by side."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b.path, b.content, strict=True):
-                rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline="")))
-                yield pd.DataFrame({"sheet": path, "row_no": range(1, len(rows) + 1), "cells": rows})
+    """(sheet: path, row_no, cells) for each record of CSV files, raw strings in file order.
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(parse, "sheet string, row_no int, cells array<string>")
+    Files are read in splits. A line starts a record if the quotes before it in its file are even: each split counts its lines'
+    quotes and record starts, and the sums over the splits before (a row a split) give every line its place. Only records with
+    line ends inside quotes are gathered, a few lines each. Rows may differ in length; an empty line is a row without cells; bytes
+    that are no UTF-8 become question marks of Unicode. Quotes must be balanced, and lines end in ``\\n`` or ``\\r\\n``.
+    """
+    at = ["sheet", "split"]
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("sheet"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value")
+    own = Window.partitionBy(*at).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("quotes", quotes).withColumn("after", F.sum("quotes").over(own))
+    before = F.col("after") - F.col("quotes")
+    # record starts in a split, if an even or an odd number of quotes stands before it
+    sums = lines.groupBy(*at).agg(F.sum("quotes").alias("q"), F.count_if(before % 2 == 0).alias("even"), F.count_if(before % 2 == 1).alias("odd"))
+    ahead = Window.partitionBy("sheet").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sums.withColumn("open", F.coalesce(F.sum("q").over(ahead), F.lit(0)) % 2)
+    splits = splits.withColumn("records", F.coalesce(F.sum(F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd"))).over(ahead), F.lit(0))).select(*at, "open", "records")
+    placed = lines.join(splits, at)
+    starts = ((F.col("open") + before) % 2 == 0).cast("int")
+    ends = (F.col("open") + F.col("after")) % 2 == 0
+    placed = placed.withColumns({"starts": starts, "ends": ends}).withColumn("row_no", F.col("records") + F.sum("starts").over(own))
+    whole = placed.filter("starts = 1 AND ends").select("sheet", "row_no", "value")
+    parts = F.array_sort(F.collect_list(F.struct("split", "line", "value")))
+    torn = placed.filter("NOT (starts = 1 AND ends)").groupBy("sheet", "row_no").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"))
+    text = F.regexp_replace(F.when(F.col("row_no") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r$", "")
+    return whole.unionByName(torn).select("sheet", F.col("row_no").cast("int").alias("row_no"), csv_cells(text).alias("cells"))
+
+
+def csv_cells(record: Column) -> Column:
+    """The cells of a CSV record; quoted ones without their quotes, doubled quotes as one."""
+    quoted = '"([^"]*+(?:""[^"]*+)*+)"'
+    tokens = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",((?:{quoted})?[^,]*)"), 1)
+    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, f"(?s)^{quoted}", 1), F.lit('""'), F.lit('"')), F.regexp_replace(c, f"(?s)^{quoted}", ""))
+    return F.when(record == "", F.array().cast("array<string>")).otherwise(F.transform(tokens, lambda c: F.when(F.startswith(c, F.lit('"')), plain(c)).otherwise(c)))
 
 
 def upload_verdict(files: DataFrame) -> DataFrame:

@@ -35,17 +35,18 @@ AMBIGUOUS = ("liability", "negligence", "damages", "damages sought", "third part
 #: Of a text, beside the snippet, that is searched for context; part of the rule.
 CONTEXT_CHARS = 5000
 EXCLUDED_NAMES = ("date of birth", "dob", "birth date", "birthdate", "social security", "ssn", "tax id", "ein", "passport", "driver license", "drivers license", "license number", "bank account", "routing number", "credit card", "personal email", "home address", "home phone", "gender", "race", "ethnicity", "marital status", "religion", "salary", "wage rate", "hourly rate")
+# Of each pattern the first group is the value, label and all.
 PATTERNS = {
-    "Claim Number": "\\bclaim\\s*(?:number|no|#)[:\\s#]*([A-Z0-9-]{5,20})",
-    "Policy Number": "\\bpolicy\\s*(?:number|no|#)[:\\s#]*([A-Z0-9-]{5,20})",
-    "Date of Loss": "\\bdate\\s*of\\s*loss[:\\s]*([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|\\w+ [0-9]{1,2},?\\s*[0-9]{4})",
-    "Time of Loss": "\\btime\\s*of\\s*(?:loss|incident)[:\\s]*([0-9]{1,2}:[0-9]{2}\\s*(?:AM|PM)?)",
-    "Phone Number": "\\b(?:phone|cell|mobile|contact)[:\\s]*(\\(?[0-9]{3}\\)?[\\s.-][0-9]{3}[\\s.-][0-9]{4})",
-    "Email": "\\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,})",
-    "Police Report Number": "\\bpolice\\s*report\\s*(?:number|no|#)[:\\s#]*([A-Z0-9-]{4,20})",
-    "Location of Loss": "\\b(?:location|address|place)\\s*of\\s*(?:loss|incident)[:\\s]*([^\\n]{5,80})",
-    "Adjuster": "\\badjuster[:\\s]*([A-Z][a-z]+ [A-Z][a-z]+)",
-    "Cause of Loss": "\\bcause\\s*of\\s*(?:loss|incident)[:\\s]*([^\\n]{3,60})",
+    "Claim Number": "\\b(claim\\s*(?:number|no|#)[:\\s#]*([A-Z0-9\\-]{5,20}))",
+    "Policy Number": "\\b(policy\\s*(?:number|no|#)[:\\s#]*([A-Z0-9\\-]{5,20}))",
+    "Date of Loss": "\\b(date\\s*of\\s*loss[:\\s]*(\\d{1,2}[\\/\\-]\\d{1,2}[\\/\\-]\\d{2,4}|\\w+ \\d{1,2},?\\s*\\d{4}))",
+    "Time of Loss": "\\b(time\\s*of\\s*(?:loss|incident)[:\\s]*(\\d{1,2}:\\d{2}\\s*(?:AM|PM|am|pm)?))",
+    "Phone Number": "\\b((?:phone|cell|mobile|contact)[:\\s]*(\\(?\\d{3}\\)?[\\s\\-\\.]\\d{3}[\\s\\-\\.]\\d{4}))",
+    "Email": "\\b([a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,})",
+    "Police Report Number": "\\b(police\\s*report\\s*(?:number|no|#)[:\\s#]*([A-Z0-9\\-]{4,20}))",
+    "Location of Loss": "\\b((?:location|address|place)\\s*of\\s*(?:loss|incident)[:\\s]*([^\\n]{5,80}))",
+    "Adjuster": "\\b(adjuster[:\\s]*([A-Z][a-z]+ [A-Z][a-z]+))",
+    "Cause of Loss": "\\b(cause\\s*of\\s*(?:loss|incident)[:\\s]*([^\\n]{3,60}))",
 }
 
 
@@ -107,7 +108,7 @@ def has_keys(result: Column, keys: Sequence[str]) -> Column:
 
 
 def typed_patterns(docs: DataFrame, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
-    """(doc_id, field, value, confidence) of each pattern's first match with two characters at least."""
+    """(doc_id, field, value, confidence) of each pattern's first match with two characters at least; the first group is the value."""
     found = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_replace(F.trim(F.regexp_extract("text", f"(?i){p}", 1)), "[.,;]+$", "").alias("value")) for f, p in patterns.items()))
     hits = docs.select("doc_id", F.explode(F.filter(found, lambda x: F.length(x["value"]) >= 2)).alias("x"))
     return hits.select("doc_id", "x.field", "x.value", F.lit(0.92).alias("confidence"))

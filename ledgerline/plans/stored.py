@@ -30,8 +30,8 @@ def s08_partitioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT sha256(text) AS sheet_hash, source AS sheet_name, doc_id AS saved_at, text, doc_id % 2 AS batch FROM documents), saved AS (SELECT * FROM d WHERE doc_id_ok QUALIFY row_number() OVER (PARTITION BY sheet_hash ORDER BY batch DESC, saved_at DESC) = 1)"
-    " SELECT DISTINCT d.sheet_hash, s.sheet_name, s.saved_at, translate(s.text, chr(8211) || chr(8212) || chr(8217), '--''') AS data, s.sheet_hash IS NOT NULL AS hit FROM d LEFT JOIN saved s USING (sheet_hash)".replace("doc_id_ok", "saved_at % 3 <> 0")
+    "WITH d AS (SELECT sha256(text) AS sheet_hash, source AS sheet_name, doc_id AS saved_at, text, doc_id % 2 AS batch FROM documents), saved AS (SELECT * FROM d WHERE saved_at % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY sheet_hash ORDER BY batch DESC, saved_at DESC) = 1)"
+    " SELECT DISTINCT d.sheet_hash, s.sheet_name, s.saved_at, translate(s.text, chr(8211) || chr(8212) || chr(8217), '--''') AS data, s.sheet_hash IS NOT NULL AS hit FROM d LEFT JOIN saved s USING (sheet_hash)"
 )
 def s11_parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two saves under content hashes, then a load of all hashes, seen or not."""
