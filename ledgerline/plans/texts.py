@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import documents as D
 from ledgerline.operators import records
 from ledgerline.plans.registry import query
-from ledgerline.sources.fixtures import table
+from ledgerline.sources.fixtures import CLAIMS_CTE, claims, table
 
 DICTIONARY = {"english": ("the", "and", "with", "this", "from", "that"), "french": ("que", "les", "des", "dans", "pour"), "german": ("und", "der", "nicht", "auf", "mit"), "legal": ("license", "token", "rights")}
 _SCORES = "scores AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{t}' AS doc_type, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + " AS score FROM documents" for i, (t, words) in enumerate(DICTIONARY.items())) + ")"
@@ -120,3 +120,24 @@ def j17_grounded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     value = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 2, 12)).otherwise("zzzzqqqq 123456789")
     return D.grounded(docs.select("doc_id", F.col("lang").alias("name"), value.alias("value"), F.lit(0.9).alias("confidence")), docs)
+
+
+#: Notes on claims, with triggers at the start, the end and far in, after a negating word, near a negating phrase, and inside words.
+_NOTE = (
+    "concat(CASE CAST(rec % 5 AS INT) WHEN 0 THEN 'Fraud at once. ' WHEN 1 THEN 'no fraud, it seems. ' WHEN 2 THEN 'The driver said: I am fine! ' WHEN 3 THEN 'defrauded by none. ' ELSE '' END, repeat(concat(claimant_name, ' waits, '), CAST(rec % 4 AS INT) * 12),"
+    " CASE WHEN rec % 3 = 0 THEN 'they denied class-action talk' WHEN rec % 3 = 1 THEN concat('a Class', {n}, 'Action of ', state) ELSE 'action class' END, {n}, repeat('and so on ', CAST(rec % 7 AS INT) * 10), CASE WHEN rec % 2 = 0 THEN 'LAWSUIT' ELSE 'lawsuits' END)"
+)
+_NOTED = (("fraud", "conduct", "High"), ("class action", "legal", "Highly Severe"), ("lawsuit", "legal", "Moderate"))
+
+
+@query(
+    "WITH "
+    + CLAIMS_CTE
+    + f", t AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _NOTED)}) AS t(keyword, type, severity)), d AS (SELECT rec AS doc_id, {_NOTE.replace('{n}', 'chr(10)')} AS text FROM claims),"
+    " m AS (SELECT *, '(?s)^(.*?)(^|[^0-9a-z])' || replace(keyword, ' ', '[^0-9a-z]+') || '($|[^0-9a-z])' AS p FROM d, t), h AS (SELECT *, length(regexp_extract(lower(text), p, 1)) + length(regexp_extract(lower(text), p, 2)) + 1 AS at_char FROM m WHERE regexp_matches(lower(text), p)),"
+    " s AS (SELECT *, greatest(0, at_char - 151) - length(regexp_extract(substr(text, 1, greatest(0, at_char - 151)), '[^ \\n.,]*$')) + 1 AS begins FROM h), w AS (SELECT *, left(translate(regexp_replace(substr(text, begins, at_char + length(keyword) + 300 - begins), '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 800) AS snippet FROM s)"
+    f" SELECT doc_id, type, severity, keyword, CAST(at_char AS INT) AS \"at\", snippet FROM w WHERE NOT regexp_matches(lower(snippet), '{'|'.join(n.replace(chr(39), chr(39) * 2) for n in D.NEGATIONS)}') AND NOT regexp_matches(lower(snippet), '{D.NEGATING.replace(chr(39), chr(39) * 2)}' || replace(keyword, ' ', '[^0-9a-z]+'))"
+)
+def j13_signals_with_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = claims(spark, sf_dir).select(F.col("rec").alias("doc_id"), F.expr(_NOTE.replace("{n}", "'\n'")).alias("text"))
+    return D.keyword_signals(docs, spark.createDataFrame(_NOTED, "keyword string, type string, severity string"))
