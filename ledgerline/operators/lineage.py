@@ -74,6 +74,26 @@ def cost_by_document(costed: DataFrame) -> DataFrame:
     )
 
 
+def task_listing(costed: DataFrame, named: int = 2) -> DataFrame:
+    """Tasks of each document and overall (doc_name null) by falling cost, with the first ``named`` of their models by name and their share of all cost."""
+    own = (F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").cast("long").alias("prompt_tokens"), F.sum("completion_tokens").cast("long").alias("completion_tokens"), F.sum("cost").alias("cost"), F.array_sort(F.collect_set("model")).alias("m"))
+    by_doc = costed.groupBy("doc_name", "task").agg(*own)
+    both = by_doc.unionByName(costed.groupBy("task").agg(*own).withColumn("doc_name", F.lit(None).cast("string")))
+    total, place = F.sum("cost").over(Window.partitionBy("doc_name")), F.row_number().over(Window.partitionBy("doc_name").orderBy(F.desc("cost"), "task"))
+    share = F.round(F.when(total > 0, F.col("cost") / total * 100).otherwise(0.0), 4)
+    return both.select("doc_name", place.alias("place"), "task", F.array_join(F.slice("m", 1, named), ", ").alias("models"), "calls", "prompt_tokens", "completion_tokens", F.round("cost", 6).alias("cost"), share.alias("percent"))
+
+
+def usage_totals(costed: DataFrame) -> DataFrame:
+    """Calls, tokens and cost of a session; one row, of zeros without a call."""
+    return costed.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("long"), F.lit(0)).alias("tokens"), F.coalesce(F.round(F.sum("cost"), 6), F.lit(0.0)).alias("cost"))
+
+
+def listing(rows: DataFrame, amount: str, key: str, limit: int) -> DataFrame:
+    """The rows with the largest amounts, ties by key."""
+    return rows.orderBy(F.desc(amount), key).limit(limit)
+
+
 def page_cost(calls: DataFrame) -> DataFrame:
     """Calls, pages and cost of each document, and overall (doc_name null)."""
     return calls.rollup("doc_name").agg(F.count(F.lit(1)).alias("calls"), F.sum("pages").cast("long").alias("pages"), F.round(F.sum("cost"), 4).alias("cost"), (F.grouping("doc_name") == 1).alias("overall"))

@@ -94,3 +94,44 @@ def overlay_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
     last = edits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("rec", "field", "kind", "new_value")
     both = fields.select("rec", "field", "value").join(last, ["rec", "field"], "full_outer")
     return both.filter("kind IS NULL OR kind <> 'delete'").select("rec", "field", F.when(F.col("kind").isNotNull(), F.col("new_value")).otherwise(F.col("value")).alias("value"))
+
+
+def standard_changes(fields: DataFrame, edits: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """Fields whose standardised value differs, as new_value; a user's edits (rec, field) stay as they are."""
+    std = fields.withColumn("new_value", S.standard_value(F.col("field"), F.col("value"), statuses))
+    return std.filter("new_value <> value AND value <> ''").join(edits.select("rec", "field").distinct(), ["rec", "field"], "left_anti")
+
+
+def incomplete(mapped: DataFrame, required: DataFrame, threshold: float) -> DataFrame:
+    """(rec, field, reason) of mapped fields (rec, field, value, confidence) below the threshold, and of required fields that a record lacks or holds empty."""
+    low = low_confidence(mapped, threshold).select("rec", "field", F.lit("low confidence").alias("reason"))
+    return low.unionByName(missing_required(mapped, mapped, required).withColumn("reason", F.lit("missing")))
+
+
+def key_union(*tables: DataFrame) -> DataFrame:
+    """The distinct keys of all tables."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
+EXPORT_PLACEHOLDERS = ("not found", "n/a", "na", "none", "unknown", "not available", "not stated", "not specified", "not provided", "unspecified", "see narrative", "not applicable", "-", "—", "")
+PHONE = "\\d{3}[\\)\\-\\.\\s]\\s*\\d{3}[\\-\\.\\s]\\d{4}"
+
+
+def flat_export(fields: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, document): the shown values of a document's fields (doc_id, pos, name, value, modified) as one JSON object, in order.
+
+    An edit (doc_id, name, new_value) goes before the modified value, that before the value. Placeholders, plain yes and no, and
+    longer texts that hold a phone number are left out; of a name that comes twice the last counts. Fields of a document are one map.
+    """
+    from ledgerline.operators.export import last_of_each
+
+    newest = edits.groupBy("doc_id", "name").agg(F.max("new_value").alias("new_value"))
+    shown = F.coalesce("new_value", "modified", "value", F.lit(""))
+    low = F.lower(F.trim("shown", F.lit(" \t\n\r")))
+    each = fields.join(newest, ["doc_id", "name"], "left").withColumn("shown", shown)
+    kept = each.filter(~low.isin(*EXPORT_PLACEHOLDERS, "yes", "no", "true", "false") & ~(F.col("shown").rlike(PHONE) & (F.length("shown") > 20)))
+    entries = F.array_sort(F.collect_list(F.struct("pos", "name", "shown")))
+    return kept.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.transform(last_of_each(entries, "name"), lambda e: F.struct(e["name"], e["shown"])))).alias("document"))

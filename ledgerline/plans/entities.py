@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import records
+from ledgerline.operators import lineage, records
 from ledgerline.operators import signals as G
 from ledgerline.plans.registry import query
 from ledgerline.plans.texts import _SIGNALS, DICTIONARY, _signals
@@ -113,13 +113,13 @@ def a22_flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_suppkey, sum(l_extendedprice * l_discount)::DECIMAL(18,2)::DOUBLE AS cost FROM lineitem GROUP BY l_suppkey ORDER BY sum(l_extendedprice * l_discount) DESC, l_suppkey LIMIT 8")
 def o01_cost_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("c"))
-    return by.orderBy(F.desc("c"), "l_suppkey").limit(8).select("l_suppkey", F.col("c").cast("decimal(18,2)").cast("double").alias("cost"))
+    return lineage.listing(by, "c", "l_suppkey", 8).select("l_suppkey", F.col("c").cast("decimal(18,2)").cast("double").alias("cost"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE event_type = 'signup'")
 def o02_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'error'").select("user_id").union(e.filter("event_type = 'signup'").select("user_id")).distinct()
+    return records.key_union(e.filter("event_type = 'error'").select("user_id"), e.filter("event_type = 'signup'").select("user_id"))
 
 
 _LISTS = "a AS (SELECT p_type AS name, min(p_partkey) AS ord FROM part WHERE p_size < 20 GROUP BY 1), b AS (SELECT p_type AS name, min(p_partkey) AS ord FROM part WHERE p_size >= 10 GROUP BY 1)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
+from ledgerline.operators import records
 from ledgerline.plans.registry import query
 from ledgerline.sources.fixtures import CLAIMS_CTE, COST_CTE, FIELDS_CTE, claims, cost_log, fields, table
 
@@ -80,8 +81,7 @@ def p10_standard_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p11_standard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fields(spark, sf_dir)
     edits = f.filter("rec % 11 = 0 AND field = 'Status'").select("rec", "field")
-    std = f.withColumn("new_value", S.standard_value(F.col("field"), F.col("value"), STATUSES))
-    return std.filter("new_value <> value AND value <> ''").join(edits, ["rec", "field"], "left_anti").select("sheet", "rec", "field", "value", "new_value")
+    return records.standard_changes(f, edits, STATUSES).select("sheet", "rec", "field", "value", "new_value")
 
 
 @query(_F + "SELECT DISTINCT field, regexp_replace(regexp_replace(lower(trim(concat('  ', replace(field, ' ', '__-'), ' Amt'))), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g') AS header FROM fields")

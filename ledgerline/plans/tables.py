@@ -189,7 +189,7 @@ def a16_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COSTED + " SELECT count(*) AS calls, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens, round(sum(cost), 6) AS cost FROM c")
 def a21_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     costed = lineage.token_cost(cost_log(spark, sf_dir), PRICES)
-    return costed.agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("long").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    return lineage.usage_totals(costed)
 
 
 @query(_F + " SELECT sheet, field, sum(CAST(regexp_replace(trim(value), '[,$%]', '', 'g') AS DECIMAL(18,2))) AS total FROM fields WHERE field IN ('Total Incurred', 'Total Paid') AND regexp_full_match(trim(regexp_replace(value, '[,$%]', '', 'g')), '[+-]?[0-9]+\\.?[0-9]*') GROUP BY ALL HAVING bool_or(CAST(regexp_replace(trim(value), '[,$%]', '', 'g') AS DECIMAL(18,2)) <> 0)")
