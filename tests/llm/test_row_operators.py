@@ -314,3 +314,10 @@ def test_packing_odd_tables(odd, none):
     pieces = rows(packing.pack_documents(odd))
     assert {p["doc_id"] for p in pieces} == {r.doc_id for r in odd.select("doc_id").collect()}
     assert packing.packing_digest(packing.pack_documents(none)).count() == 0
+
+
+def test_many_equal_rows_are_numbered_by_count(spark):
+    df = spark.range(60_000).select(F.lit(7).alias("id"), F.lit("x").alias("v"), F.lit(0).alias("shard")).unionByName(spark.range(50).select(F.col("id").cast("int").alias("id"), F.lit("y").alias("v"), F.lit(0).alias("shard")))
+    got = sharding.number_slots(df, "shard", ["id"], rows_a_group=10)
+    assert sorted(r.slot for r in got.select("slot").collect()) == list(range(60_050))
+    assert got.groupBy("v").count().orderBy("v").collect() == [("x", 60_000), ("y", 50)]
