@@ -61,19 +61,24 @@ def fine_scheme(edits: int, segments: int) -> Scheme:
     return out
 
 
-def _keys(line: Column, length: Column, scheme: Scheme, segments: int) -> Column:
-    """Array of (key, probe) for one line; probe is false for the index."""
-    out, had = [], set()
-    for delta, number, parts in scheme:
-        probe = delta > 0 or any(s for *_, s in parts)
-        if (same := (delta, number, tuple(parts))) in had:
-            continue
-        had.add(same)
-        own = length - delta
-        at = lambda k: F.floor(own * k / segments).cast("int")  # noqa: B023, E731
-        pieces = [F.substr(line, at(a) + 1 + s, at(b) - at(a)) for a, b, s in parts]
-        out.append(F.struct(F.xxhash64(own, F.lit(number), *pieces).alias("key"), F.lit(probe).alias("probe")))
-    return F.array(*out)
+def keyed(lines: DataFrame, scheme: Scheme, segments: int) -> DataFrame:
+    """``lines`` (line, size and others) without these two, a row for each key and whether it is a probe; else it is the index.
+
+    Cuts and hashes of pieces are columns that the keys share, each made once a line: written out in every key they
+    are more code than Spark compiles, and the driver fails at it slowly.
+    """
+    own = lambda delta: F.col("size") - delta
+    keys = {(delta, number, tuple(parts)): delta > 0 or any(s for *_, s in parts) for delta, number, parts in scheme}
+    places = sorted({(delta, k) for delta, _, parts in keys for a, b, _ in parts for k in (a, b)})
+    pieces = sorted({(delta, *part) for delta, _, parts in keys for part in parts})
+    at = {p: f"__cut{i}" for i, p in enumerate(places)}
+    named = {p: f"__piece{i}" for i, p in enumerate(pieces)}
+    more = [c for c in lines.columns if c not in ("line", "size")]
+    cut = lines.select("*", *(F.floor(own(delta) * k / segments).cast("int").alias(name) for (delta, k), name in at.items()))
+    piece = lambda delta, a, b, s: F.xxhash64(F.substr("line", F.col(at[delta, a]) + 1 + s, F.col(at[delta, b]) - F.col(at[delta, a])))
+    hashed = cut.select(*more, "size", *(piece(*p).alias(name) for p, name in named.items()))
+    out = [F.struct(F.xxhash64(own(delta), F.lit(number), *(named[delta, *part] for part in parts)).alias("key"), F.lit(probe).alias("probe")) for (delta, number, parts), probe in keys.items()]
+    return hashed.select(*more, F.explode(F.array(*out)).alias("e")).select("e.key", "e.probe", *more)
 
 
 def _times(line: Column, letter: str) -> Column:
@@ -150,10 +155,10 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line", "size"))
 
 
-def _pairs(keyed: DataFrame, bucket: int | None, work: Workspace, name: str, edits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _pairs(rows: DataFrame, bucket: int | None, work: Workspace, name: str, edits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(a, b) that share a key in buckets of up to ``bucket`` lines, and the lines (h) of larger ones; with ``edits`` letter counts (c0, c1) must be alike."""
-    dealt = keyed.repartition("key")
-    more = [c for c in keyed.columns if c in ("c0", "c1")]
+    dealt = rows.repartition("key")
+    more = [c for c in rows.columns if c in ("c0", "c1")]
     stats = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("x"), F.max("h").alias("y"), F.bool_and("probe").alias("no_index"))
     met = work.write(dealt.join(stats.filter("x <> y AND NOT no_index").select("key", "rows"), "key"), name, release=True)
     small = met if bucket is None else met.filter(F.col("rows") <= bucket)
@@ -184,13 +189,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     texts = work.write(texts, "texts")
 
     segments = max_edits + 1
-    keyed = texts.select("h", F.explode(_keys(F.col("line"), F.col("size"), coarse_scheme(max_edits), segments)).alias("e")).select("e.key", "h", "e.probe")
-    near, crowded = _pairs(keyed, bucket_lines, work, "coarse")
+    near, crowded = _pairs(keyed(texts.select("h", "line", "size"), coarse_scheme(max_edits), segments), bucket_lines, work, "coarse")
     crowded = sized(work.write(crowded, "crowded"))
     one, two = _letters(F.col("line"))
     # counted before the keys are made, once a line
-    again = texts.join(crowded, "h").select("h", "line", "size", one.alias("c0"), two.alias("c1")).select("h", "c0", "c1", F.explode(_keys(F.col("line"), F.col("size"), fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS)).alias("e")).select("e.key", "h", "e.probe", "c0", "c1")
-    fine, _ = _pairs(again, None, work, "fine", max_edits)
+    again = texts.join(crowded, "h").select("h", "line", "size", one.alias("c0"), two.alias("c1"))
+    fine, _ = _pairs(keyed(again, fine_scheme(max_edits, FINE_SEGMENTS), FINE_SEGMENTS), None, work, "fine", max_edits)
     pairs = work.write(near.union(fine).distinct(), "pairs", release=True)
     work.delete("coarse", "fine", "crowded", "places")
 

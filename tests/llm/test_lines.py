@@ -94,3 +94,13 @@ def test_report_on_documents(docs):
     for r in report:
         whole = dict(table)[r.doc_id].split("\n")
         assert r.n_lines == len(whole) and r.n_exact + r.n_near == len(whole) - (len(r.text.split("\n")) if r.text or len(whole) > r.n_exact + r.n_near else 0)
+
+
+def test_keys_compile(spark, tmp_path):
+    """Keys written out in full were more code than Spark compiles; it then went on without, after much work in the driver."""
+    spark.createDataFrame(made(1), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert got(spark.read.parquet(str(tmp_path / "t")), bucket_lines=2) == plain(made(1))
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
