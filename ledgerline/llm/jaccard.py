@@ -35,8 +35,8 @@ from ledgerline.llm.words import lower_blank_words, slices
 from ledgerline.llm.workspace import HOT_ROWS, Workspace, bounded_batches, components, join_hot, sized, unused
 
 SHINGLE_WORDS, MIN_PERCENT = 4, 85
-#: Longs of a unit's bit map.
-MAP_LONGS = 16
+#: Longs of a unit's bit map at least; it doubles until it has a bit for ``MAP_LOAD`` shingles.
+MAP_LONGS, MAP_LOAD = 16, 0.7
 #: Counters of shingles: one for so many bytes of text, up to a table that every executor can hold.
 COUNTER_BYTES, MIN_COUNTERS, MAX_COUNTERS = 256, 1 << 12, 1 << 20
 #: Tables of counters that one task, and the driver, adds up.
@@ -48,9 +48,12 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _bit_map(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * MAP_LONGS, bool)
-    bits[(hashes & (64 * MAP_LONGS - 1))] = True
-    return np.packbits(bits).view(np.int64)
+    longs = MAP_LONGS
+    while len(hashes) > MAP_LOAD * 64 * longs:
+        longs *= 2
+    bits = np.zeros(64 * longs, bool)
+    bits[(hashes & (64 * longs - 1))] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -84,7 +87,7 @@ def shingle_magnitudes(docs: DataFrame, words: int, work: Workspace) -> np.ndarr
 
     table = work.write(docs.select("text").mapInArrow(run, "counts binary"), "counters")
     while (n := table.count()) > FAN_IN:
-        table = work.write(table.repartition(-(-n // FAN_IN)).mapInArrow(add_up, "counts binary"), f"counters{n}")
+        table = work.write(table.coalesce(-(-n // FAN_IN)).mapInArrow(add_up, "counts binary"), f"counters{n}")
     total = np.zeros(counters, np.uint64)
     for r in table.toLocalIterator():
         total += np.frombuffer(r.counts, np.uint64)
@@ -160,7 +163,11 @@ def _thin(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of units whose bit maps allow a link, with the sizes."""
     side = lambda x: maps.select(F.col("unit").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    lost = lambda x, y: F.aggregate(F.zip_with(f"m{x}", f"m{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    # of maps of two lengths the longer one is folded: its bits are the same hashes modulo the shorter length
+    length = F.least(F.size("ma"), F.size("mb"))
+    either = lambda m, i: F.aggregate(F.sequence(i, F.size(m) - 1, length), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.get(m, k)))
+    folded = lambda m: F.when(F.size(m) == length, F.col(m)).otherwise(F.transform(F.sequence(F.lit(0), length - 1), lambda i: either(m, i)))
+    lost = lambda x, y: F.aggregate(F.zip_with(folded(f"m{x}"), folded(f"m{y}"), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
     need = _needed(F.col("na"), F.col("nb"), percent)
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (lost("a", "b") <= F.col("na") - need) & (lost("b", "a") <= F.col("nb") - need)
     return both.filter(fits).select("a", "b")

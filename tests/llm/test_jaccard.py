@@ -127,3 +127,17 @@ def test_connected_components(spark):
             changed |= parent[a] != m or parent[b] != m
             parent[a] = parent[b] = m
     assert got == parent
+
+
+def test_maps_of_long_documents(spark):
+    """Long documents that share a passage are told apart by their bit maps, and maps of two lengths lose no link."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 3000)
+    edge = int(jaccard.MAP_LOAD * 64 * jaccard.MAP_LONGS)
+    near = rng.integers(-(1 << 62), 1 << 62, edge + 60)
+    sets = [base, np.concatenate([base[:100], rng.integers(-(1 << 62), 1 << 62, 2900)]), np.append(base[150:], rng.integers(0, 9, 1)), near, near[:-100], near[80:]]
+    maps = spark.createDataFrame([(i, len(s), jaccard._bit_map(s).tolist()) for i, s in enumerate(sets)], "unit long, n long, map array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)], "a long, b long")
+    linked = {(a, b) for a in range(6) for b in range(a + 1, 6) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert {len(jaccard._bit_map(s)) for s in sets} == {16, 32, 64, 128}
+    assert {tuple(r) for r in jaccard._thin(pairs, maps, 85).collect()} == linked
