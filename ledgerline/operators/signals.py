@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import standardize as S
 from ledgerline.operators.documents import one_text
-from ledgerline.operators.mapping import name_tokens, token_similarity
+from ledgerline.operators.mapping import STOPWORDS, name_tokens, token_similarity
 
 # Fixed values.
 LEVELS = ("Highly Severe", "High", "Moderate", "Low")
@@ -192,11 +193,19 @@ ID_NAMES = ("claim id", "claim_id", "claimid", "claim number", "claim no", "clai
 
 #: Least share of words that a column's name has in common with a name that is sought.
 ID_LIKENESS, KEY_LIKENESS = 0.55, 0.6
+#: Place of fields that hold no claim's id.
+NO_PLACE = 9
+
+
+def _words(name: str) -> list[str]:
+    """``name_tokens`` of a constant."""
+    return list(dict.fromkeys(w for w in re.split(r"\s+", re.sub("[_/#+]", " ", name.lower()).strip()) if len(w) > 1 and w not in STOPWORDS))
 
 
 def _likeness(name: Column, words: Sequence[str]) -> Column:
-    """The best similarity of a name to one of several."""
-    return F.array_max(F.transform(F.array(*(F.lit(w) for w in words)), lambda w: token_similarity(name_tokens(name), name_tokens(w))))
+    """The best similarity of a name to one of several; the name is cut into words once, the others beforehand."""
+    each = sorted({tuple(_words(w)) for w in words})
+    return F.transform(F.array(name_tokens(name)), lambda t: F.greatest(F.lit(0.0), *(token_similarity(t, F.array(*(F.lit(x) for x in w)).cast("array<string>")) for w in each)))[0]
 
 
 def claim_ids(fields: DataFrame) -> DataFrame:
@@ -205,14 +214,17 @@ def claim_ids(fields: DataFrame) -> DataFrame:
     A column is named like an id if its name holds one of ``ID_NAMES``; after those, if it shares enough words with one.
     """
     name, v = F.trim(F.replace(F.lower("field"), F.lit("_"), F.lit(" "))), F.trim("value")
-    holds = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(name, w))
-    alike = (_likeness(name, ID_NAMES) >= ID_LIKENESS) & (F.length(v) >= 2)
-    place = F.when(holds(CHECK_NAMES), 0).when(holds(ID_NAMES), 1).when(alike, 2).when(v.rlike("(?i)^[A-Z]{2,5}[-_]?[A-Z0-9]{2,15}$") & v.rlike("[0-9]"), 3)
-    found = fields.withColumn("place", place).filter("place IS NOT NULL AND trim(value) <> ''")
-    w = Window.partitionBy("sheet", "rec").orderBy("place", "pos")
-    stage = F.when(F.col("place") < 2, F.col("place")).otherwise(F.col("place") - 1).alias("stage")
-    best = found.withColumn("r", F.row_number().over(w)).filter("r = 1").select("sheet", "rec", F.col("value").alias("claim_id"), stage)
-    return fields.select("sheet", "rec").distinct().join(best, ["sheet", "rec"], "left").select("sheet", "rec", F.coalesce("claim_id", (F.col("rec") + 1).cast("string")).alias("claim_id"), F.coalesce("stage", F.lit(3)).alias("stage"))
+    holds = lambda words: reduce(lambda a, b: a | b, (F.contains(name, F.lit(w)) for w in words))
+    alike = (F.length(v) >= 2) & (_likeness(name, ID_NAMES) >= ID_LIKENESS)
+    # only names with a word of an id's name are compared: without one the likeness is 0
+    worded = F.concat(F.lit(" "), F.translate(name, "/#+\t\n\x0b\x0c\r", " " * 8), F.lit(" ")).rlike(" (?:" + "|".join(sorted({re.escape(t) for w in ID_NAMES for t in _words(w)})) + ") ")
+    like_id = v.rlike("(?i)^[A-Z]{2,5}[-_]?[A-Z0-9]{2,15}$") & v.rlike("[0-9]")
+    place = F.when(v.isNull() | (v == ""), NO_PLACE).when(holds(CHECK_NAMES), 0).when(holds(ID_NAMES), 1).when(worded & alike, 2).when(like_id, 3).otherwise(NO_PLACE)
+    best = fields.groupBy("sheet", "rec").agg(F.min(F.struct(place.alias("place"), "pos", "value")).alias("b")).select("sheet", "rec", "b.place", "b.value")
+    found = F.col("place") < NO_PLACE
+    claim_id = F.when(found, F.col("value")).otherwise((F.col("rec") + 1).cast("string"))
+    stage = F.when(~found, 3).when(F.col("place") < 2, F.col("place")).otherwise(F.col("place") - 1)
+    return best.select("sheet", "rec", claim_id.alias("claim_id"), stage.alias("stage"))
 
 
 def lookup_value(fields: DataFrame, keys: Sequence[str]) -> DataFrame:
