@@ -37,11 +37,18 @@ _WHITE = " \t\n\x0b\x0c\r"
 def rule_date(v: Column) -> Column:
     """Year first, month before day before day before month, or a month's name with or without an ordinal; else null."""
     s = F.trim(v, F.lit(_WHITE))
-    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    part = lambda pattern, order: day(*(F.regexp_extract(s, pattern, g) for g in order))
-    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.substring(F.lower(F.regexp_extract(s, NAMED_DATE, 1)), 1, 3)).cast("string")
+
+    def day(pattern: str, order: tuple[int, int, int]) -> Column:
+        """The date of a pattern's groups; no day of the calendar is null, without the cost of a failed parse."""
+        y, m, d = (F.regexp_extract(s, pattern, g) for g in order)
+        m = F.array_position(F.array(*(F.lit(x) for x in MONTHS)), F.substring(F.lower(m), 1, 3)) if pattern == NAMED_DATE else m
+        y, m, d = y.try_cast("int"), m.try_cast("int"), d.try_cast("int")
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when(m.between(1, 12) & d.between(1, days), F.make_date(y, m, d))
+
     iso, slashes = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", "^(\\d{1,2})/(\\d{1,2})/(\\d{4})$"
-    return F.coalesce(part(iso, (1, 2, 3)), part(slashes, (3, 1, 2)), part(slashes, (3, 2, 1)), day(F.regexp_extract(s, NAMED_DATE, 3), month, F.regexp_extract(s, NAMED_DATE, 2)))
+    return F.when(s.rlike(iso), day(iso, (1, 2, 3))).when(s.rlike(slashes), F.coalesce(day(slashes, (3, 1, 2)), day(slashes, (3, 2, 1)))).when(s.rlike(NAMED_DATE), day(NAMED_DATE, (3, 1, 2)))
 
 
 def _signal(name: Column | str, level: str, evidence: Column | str) -> Column:
@@ -70,14 +77,15 @@ def document_signals(docs: DataFrame, as_of: Column) -> DataFrame:
 
     ``as_of`` is today's date. Field names count in either case, of several that agree the last. A null text is empty.
     """
-    d = docs.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), "fields", F.map_entries("fields").alias("__e")).withColumn("__low", F.lower("text"))
+    d = docs.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), "fields", F.transform(F.map_entries("fields"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))).alias("__e")).withColumn("__low", F.lower("text"))
     low, label = F.col("__low"), F.col("label")
     exact = lambda name: F.try_element_at("fields", F.lit(name))
-    of = lambda name: F.element_at(F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit(None).cast("string").alias("value"))), F.filter("__e", lambda e: F.lower(e["key"]) == name.lower())), -1)["value"]
+    of = lambda name: F.element_at(F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit(None).cast("string").alias("value"))), F.filter("__e", lambda e: e["key"] == name.lower())), -1)["value"]
+    d = d.withColumns({f"__day{i}": rule_date(exact(name)) for i, name in enumerate(DATE_FIELDS)})
     rules = []
-    for name in DATE_FIELDS:
+    for i, name in enumerate(DATE_FIELDS):
         v, kind = exact(name), name.lower()
-        day, told = rule_date(v), F.concat(F.lit(f"{name}: "), v)
+        day, told = F.col(f"__day{i}"), F.concat(F.lit(f"{name}: "), v)
         future = ("Filing Date in Future", LEVELS[0]) if kind == "filing date" else ("Effective Date in Future", LEVELS[1]) if "effective" in kind else None if "expir" in kind else (f"{name} is a Future Date", LEVELS[2])
         if future:
             rules.append(_when(day > as_of, _signal(*future, told)))
@@ -93,7 +101,7 @@ def document_signals(docs: DataFrame, as_of: Column) -> DataFrame:
     rules.append(_when(rule_date(effective) < rule_date(filed), _signal("Effective Date Precedes Filing Date", LEVELS[1], F.concat(F.lit("Filing Date: "), filed, F.lit(" | Effective Date: "), effective))))
     for texts, labels in ((LEGAL_TEXTS, LEGAL_LABELS), (INSURANCE_TEXTS, INSURANCE_LABELS)):
         rules += [_when(label.isin(*labels) & low.rlike(called), _signal(name, level, _evidence(low, called, shown, around))) for name, level, called, shown, around in texts]
-    words = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
+    words = F.regexp_count("text", F.lit("\\S+"))
     rules += [_when(F.coalesce(F.size("fields"), F.lit(0)) < MIN_FIELDS, _signal("Very Few Fields Extracted", LEVELS[2], "")), _when(words < MIN_WORDS, _signal("Document May Be Empty or Truncated", LEVELS[1], ""))]
     rank = lambda s: F.array_position(F.array(*(F.lit(x) for x in LEVELS)), s["severity"])
     ranked = F.array_sort(F.transform(F.concat(*rules), lambda s, i: F.struct(rank(s).alias("r"), i.alias("i"), s.alias("s"))))

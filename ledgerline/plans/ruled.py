@@ -72,6 +72,6 @@ def _sql() -> str:
 
 @query(_sql())
 def r01_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(_DOCS.replace("{n}", "\n"), orders=table(spark, sf_dir, "orders"))
+    rows = spark.sql(_DOCS.replace("{n}", "\n"), orders=table(spark, sf_dir, "orders").repartition("o_orderkey"))
     pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.col(c).alias("value")) for n, c in _F.items())), lambda p: p["value"].isNotNull())
     return R.document_signals(rows.select("doc_id", "label", "text", F.map_from_entries(pairs).alias("fields")), F.lit(_TODAY).cast("date"))
