@@ -133,15 +133,20 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(bare)), "[\\s\\-_:./]+", "_"), "^_+|_+$", "")
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """Likeness of two name keys, 0 to 1: equal, one in the other, all words of the shorter, or shared words."""
+def name_words(key: Column) -> Column:
+    """The words of a name's key that say something about it."""
+    return F.array_distinct(F.filter(F.split(key, "_"), lambda w: (F.length(w) > 1) & ~w.isin(*NAME_STOPS)))
+
+
+def name_score(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
+    """Likeness of two name keys, 0 to 1: equal, one in the other, all words of the shorter, or shared words; ``x`` and ``y``: their words, if at hand."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    words = lambda k: F.array_distinct(F.filter(F.split(k, "_"), lambda w: (F.length(w) > 1) & ~w.isin(*NAME_STOPS)))
-    x, y = words(a), words(b)
+    x, y = name_words(a) if x is None else x, name_words(b) if y is None else y
     shared, least, most = F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-    jaccard = shared / F.size(F.array_union(x, y))
+    jaccard = shared / (F.size(x) + F.size(y) - shared)
     inside = (F.contains(a, b) | F.contains(b, a)) & (short >= 0.6 * long)
-    return F.when(a == b, 1.0).when(long == 0, 0.0).when(inside, short / long).when(least == 0, 0.0).when((shared == least) & ((least >= 2) | (least / most >= 0.5)), 0.6).when(jaccard >= 0.4, jaccard).otherwise(0.0)
+    apart = (least == 0) | ~F.arrays_overlap(x, y)
+    return F.when(a == b, 1.0).when(long == 0, 0.0).when(inside, short / long).when(apart, 0.0).when((shared == least) & ((least >= 2) | (least / most >= 0.5)), 0.6).when(jaccard >= 0.4, jaccard).otherwise(0.0)
 
 
 def ocr_matches(entities: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -152,10 +157,10 @@ def ocr_matches(entities: DataFrame, ocr: DataFrame) -> DataFrame:
     Names meet within their document only.
     """
     tokens = lambda v: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(v, F.lit(""))), "[^0-9a-z_\\s]", " "), "\\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(*VALUE_STOPS)))
-    e = entities.select("doc_id", "name", "value", "page", name_key(F.col("name")).alias("a"))
-    o = ocr.select("doc_id", *(F.col(c).alias(f"ocr_{c}") for c in ("name", "value", "page", "confidence", "pos")), name_key(F.col("name")).alias("b"))
     need = F.when(F.size(F.filter(F.split("a", "_"), lambda w: w != "")) <= 2, 0.5).otherwise(0.6)
-    met = e.join(o, "doc_id").withColumn("score", name_score(F.col("a"), F.col("b"))).filter(F.col("score") >= need)
+    e = entities.select("doc_id", "name", "value", "page", name_key(F.col("name")).alias("a")).withColumns({"x": name_words(F.col("a")), "need": need})
+    o = ocr.select("doc_id", *(F.col(c).alias(f"ocr_{c}") for c in ("name", "value", "page", "confidence", "pos")), name_key(F.col("name")).alias("b")).withColumn("y", name_words(F.col("b")))
+    met = e.join(o, "doc_id").withColumn("score", name_score(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).filter("score >= need")
     w = Window.partitionBy("doc_id", "name", "value", "page").orderBy(F.desc("score"), F.coalesce(F.col("ocr_page") == F.col("page"), F.lit(False)).desc(), F.desc("ocr_confidence"), "ocr_pos")
     x, y = tokens(F.col("value")), tokens(F.col("ocr_value"))
     best = met.withColumn("r", F.row_number().over(w)).filter("r = 1").filter((F.size(x) == 0) | (F.size(y) == 0) | F.arrays_overlap(x, y))
