@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.review import allowed_names, name_key, name_score, value_fault
+from ledgerline.operators.review import allowed_names, name_key, name_score, name_words, value_fault
 
 # Fixed values.
 DIALOGUE = (
@@ -80,15 +80,17 @@ def matched_entities(entities: DataFrame, ocr: DataFrame) -> DataFrame:
     page, the field that ``key_hint`` names; then the first field whose value has the entity's first six words.
     """
     o = ocr.select("doc_id", F.struct("name", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), _placed(F.col("polygon"), F.col("page_width"), F.col("page_height")).alias("placed"), _wide(F.col("polygon"), F.col("page_width"), F.col("page_height")).alias("wide"), F.col("pos").cast("long").alias("pos"), name_key(F.col("name")).alias("key")).alias("o"))
-    met = entities.withColumn("key", name_key(F.col("name"))).join(o, "doc_id", "left")
+    o = o.withColumn("said", name_words(F.col("o.key")))
     need = F.when(F.size(F.filter(F.split("key", "_"), lambda w: w != "")) <= 2, 0.5).otherwise(0.6)
-    score = name_score(F.col("key"), F.col("o.key"))
     snippet = F.lower(F.array_join(F.slice(_words(_strip(F.col("value"))), 1, 6), " "))
-    quoted = (F.length("value") > 6) & F.contains(F.lower("o.value"), snippet) & F.col("o.placed")
+    own = entities.withColumns({"key": name_key(F.col("name")), "hint": name_key(F.col("key_hint")), "snippet": snippet}).withColumns({"told": name_words(F.col("key")), "need": need})
+    met = own.join(o, "doc_id", "left").withColumn("score", name_score(F.col("key"), F.col("o.key"), F.col("told"), F.col("said")))
+    score, need = F.col("score"), F.col("need")
+    quoted = (F.length("value") > 6) & F.contains(F.lower("o.value"), F.col("snippet")) & F.col("o.placed")
     sure = F.struct(F.col("o.confidence"), -F.col("o.pos"))
     best = met.groupBy(*entities.columns).agg(
         F.max_by("o", F.when(score >= need, F.struct(score.alias("s"), F.col("o.confidence"), -F.col("o.pos")))).alias("m"),
-        F.max_by("o", F.when(F.col("o.key") == name_key(F.col("key_hint")), sure)).alias("h"), F.min_by("o", F.when(quoted, F.col("o.pos"))).alias("q"),
+        F.max_by("o", F.when(F.col("o.key") == F.col("hint"), sure)).alias("h"), F.min_by("o", F.when(quoted, F.col("o.pos"))).alias("q"),
     )
     x, y = _value_tokens(F.col("value")), _value_tokens(F.col("m.value"))
     best = best.withColumn("m", F.when((F.size(x) == 0) | (F.size(y) == 0) | F.arrays_overlap(x, y), F.col("m")))
